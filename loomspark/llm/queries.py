@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import bpe, packing, simple8b
+from loomspark.llm import bpe, packing, quality, simple8b
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +28,25 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of every document with the verdict of each policy."""
+    return quality.judge(quality.ledger(_table(spark, sf_dir, "documents")))
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects alone and with others."""
+    return quality.ablation(quality.ledger(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_token_output": op2_token_output,
     "op5_packing": op5_packing,
+    "op10_quality": op10_quality,
+    "quality_ablation": quality_ablation,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_quality": quality.ledger_sql(),
+    "quality_ablation": quality.ablation_sql(),
+}
