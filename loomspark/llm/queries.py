@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import bpe, packing, quality, simple8b
+from loomspark.llm import bpe, exact, langid, lines, packing, quality, simple8b
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +23,27 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.encode_packed(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, similarity and rejection of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.classify(docs, langid.train(docs), drop=("text",))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that many sites share."""
+    return lines.remove(_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of token ids."""
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, of those with equal texts one."""
+    return exact.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of every document with the verdict of each policy."""
     return quality.judge(quality.ledger(_table(spark, sf_dir, "documents")))
@@ -41,12 +57,17 @@ def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_token_output": op2_token_output,
+    "op3_language": op3_language,
+    "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
+    "op6_exact_dedup": op6_exact_dedup,
     "op10_quality": op10_quality,
     "quality_ablation": quality_ablation,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": lines.remove_sql(),
+    "op6_exact_dedup": exact.dedup_sql(),
     "op10_quality": quality.ledger_sql(),
     "quality_ablation": quality.ablation_sql(),
 }
