@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import bpe, exact, langid, lines, packing, quality, simple8b
+from loomspark.llm import bpe, exact, langid, lines, nearjoin, packing, quality, simple8b
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs and sets of near copies among the documents."""
+    return nearjoin.join(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of every document with the verdict of each policy."""
     return quality.judge(quality.ledger(_table(spark, sf_dir, "documents")))
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_near_copies": op8_near_copies,
     "op10_quality": op10_quality,
     "quality_ablation": quality_ablation,
 }
