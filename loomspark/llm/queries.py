@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import bpe, exact, langid, lines, nearjoin, packing, quality, simple8b
+from loomspark.llm import bpe, exact, langid, lines, nearjoin, packing, quality, simple8b, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,11 +44,22 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs and sets of near copies among the documents."""
     return nearjoin.join(_table(spark, sf_dir, "documents"))
 
 
+def op9_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The global capture index of all pages. The table has no time of capture; a second for each page_id stands in for it."""
+    return warc.capture_index(_table(spark, sf_dir, "pages")).drop("run", "record_offset")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of every document with the verdict of each policy."""
     return quality.judge(quality.ledger(_table(spark, sf_dir, "documents")))
@@ -66,7 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_near_copies": op8_near_copies,
+    "op9_capture_index": op9_capture_index,
     "op10_quality": op10_quality,
     "quality_ablation": quality_ablation,
 }
@@ -74,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": lines.remove_sql(),
     "op6_exact_dedup": exact.dedup_sql(),
+    "op9_capture_index": warc.capture_index_sql(),
     "op10_quality": quality.ledger_sql(),
     "quality_ablation": quality.ablation_sql(),
 }
