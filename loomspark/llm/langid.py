@@ -176,8 +176,13 @@ def train(df: DataFrame, label: str = "lang", text: str = "text", sample: int =
     """idf over all of df, centroids from at most `sample` labelled rows a language."""
     n, frequency = document_frequencies(df, text)
     idf = (np.log((1 + n) / (1 + frequency)) + 0.05).astype(np.float32)
-    key = F.xxhash64(text)
-    labelled = df.where(F.col(label).isNotNull() & (F.trim(label) != "") & (F.length(F.trim(text)) > 0)).select(F.col(label).alias("label"), F.lower(text).alias("t"), key.alias("h"))
+    labelled = df.where(F.col(label).isNotNull() & (F.trim(label) != "") & (F.length(F.trim(text)) > 0)).select(F.col(label).cast("string").alias("label"), F.lower(text).alias("t"), F.xxhash64(text).alias("h"))
+    # a share of each label that holds the sample several times over is all that is ranked
+    sizes = labelled.groupBy("label").count().collect()
+    if not sizes:
+        return fit([], [], idf, centroids)
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["label"], min(1.0, 8.0 * sample / r["count"]))))
+    labelled = labelled.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("label")] * (1 << 30))
     rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "t"))
     rows = labelled.withColumn("r", rank).where(F.col("r") <= sample).orderBy("label", "r").collect()
     return fit([r["t"] for r in rows], [r["label"] for r in rows], idf, centroids)
