@@ -66,13 +66,13 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Unique (feature, row) of lower-cased texts, ordered by row."""
     h, r, base = [], [], 0
-    for b in pieces(pa.record_batch([pa.array(texts, pa.string())], ["text"])):
+    for b in pieces(pa.record_batch([pa.array(texts, pa.string())], ["text"]), most=1 << 18):
         x, y = features(*utf8(b.column(0)))
         order = np.lexsort((x, y))
         x, y = x[order], y[order]
         new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])) if len(x) else np.zeros(0, bool)
         h.append(x[new])
-        r.append(y[new] + base)
+        r.append((y[new] + base).astype(np.int32))
         base += b.num_rows
     return (np.concatenate(h), np.concatenate(r)) if h else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
@@ -148,7 +148,8 @@ def fit(texts: list[str], toxic: list[int], fairness: float = FAIRNESS, sparsity
         held[:] = False
     train = ~held
     # candidates: the features whose presence differs most between the classes, and all identity terms
-    keys, code = np.unique(h, return_inverse=True)
+    keys = np.unique(h)
+    code = np.searchsorted(keys, h).astype(np.int32)
     n1, n0 = (y[train] == 1).sum(), (y[train] == 0).sum()
     mine = train[r]
     in1 = np.bincount(code[mine & (y[r] == 1)], minlength=len(keys))
@@ -157,9 +158,11 @@ def fit(texts: list[str], toxic: list[int], fairness: float = FAIRNESS, sparsity
     z = np.abs(p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
     z[in1 + in0 < min(3, n1)] = 0
     best = keys[np.argsort(-z, kind="stable")[:candidates]]
+    del code, mine, in1, in0, p1, p0, p, z
     identity = _of([w for group in IDENTITY for w in group])[0]
     keys = np.unique(np.concatenate([best, identity]))
     column, row = _select(h, r, keys)
+    del h, r
     place = np.cumsum(train) - 1
     ok = train[row]
     x = _Sparse(place[row[ok]], column[ok], 1.0, int(train.sum()), len(keys))
