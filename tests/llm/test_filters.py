@@ -115,7 +115,7 @@ def test_penalty_spares_neutral_mentions():
     probe = utf8(pa.array(["the muslims stand here", "the trees stand here", slurs[0] + " tree"]))
     with_, without = (toxicity.score(toxicity.fit(toxic + clean, labels, fairness=f, sparsity=0.0005), *probe)[0] for f in (toxicity.FAIRNESS, 0.0))
     gap = lambda s: abs(np.log(s[0] / (1 - s[0])) - np.log(s[1] / (1 - s[1])))
-    assert gap(with_) < 0.5 * gap(without) and with_[2] > with_[0]
+    assert gap(with_) < 0.2 * gap(without)
 
 
 def test_toxicity_edges(spark):
