@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from loomspark.llm.vec import Memo, pieces, ragged, span_hashes, utf8
+from loomspark.llm.vec import Memo, lean, pieces, ragged, span_hashes, utf8
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LONG = 192
@@ -477,7 +477,7 @@ def encode(df: DataFrame, path: str = DEFAULT_VOCABULARY, text: str = "text", id
                 null = nulls(column)
                 yield _replace(b, keep, {ids: _lists(values, offsets, null), n_tokens: pa.array(np.diff(offsets).astype(np.int32), mask=null)}, schema)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, path: str = DEFAULT_VOCABULARY, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -506,7 +506,7 @@ def decode(df: DataFrame, path: str = DEFAULT_VOCABULARY, ids: str = "ids", text
                 out = pa.array([None if n else x for n, x in zip(null, out.to_pylist())], pa.binary())
             yield _replace(b, keep, {text: out}, schema)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def encode_decode(df: DataFrame, path: str = DEFAULT_VOCABULARY, text: str = "text", key_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -532,4 +532,4 @@ def encode_decode(df: DataFrame, path: str = DEFAULT_VOCABULARY, text: str = "te
                     same &= np.array([np.array_equal(back[total[offsets[i]] : total[offsets[i + 1]]], data[off[i] : off[i + 1]]) for i in range(len(off) - 1)], bool)
                 yield _replace(b, keep, {"ids": _lists(values, offsets, null), "n_tokens": pa.array(np.diff(offsets).astype(np.int32), mask=null), "roundtrip": pa.array(same, mask=null)}, schema)
 
-    return df.select(*keep, text).mapInArrow(run, schema)
+    return df.select(*keep, text).mapInArrow(lean(run), schema)

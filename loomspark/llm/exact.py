@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import shared
-from loomspark.llm.vec import utf8
+from loomspark.llm.vec import lean, utf8
 
 FIRST = 32
 WIDER = 4
@@ -164,7 +164,7 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", target: int
     hot = _split_groups(full, target, first)
     placed = _place(full, hot, first)
     flat = placed.where(~F.col("ended")).select("row", order_id.alias("order_id"), F.xxhash64("row").alias("tie"), "prefix")
-    kept = flat.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_local, docs.schema)
+    kept = flat.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(lean(_local), docs.schema)
     if hot:
         kept = kept.unionByName(placed.where("ended").groupBy("prefix").agg(F.min_by("row", order).alias("row")).select("row"))
     null = docs.where(F.col("row.text_").isNull()).select(F.min_by("row", order).alias("row")).where(F.col("row").isNotNull())

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspark.llm import bpe
-from loomspark.llm.vec import mix, pieces, utf8
+from loomspark.llm.vec import lean, mix, pieces, utf8
 
 DIMS = 4096
 ORDERS = (2, 3, 4)
@@ -167,7 +167,7 @@ def document_frequencies(df: DataFrame, text: str = "text") -> tuple[int, np.nda
                 n += b.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIMS, dtype=np.int32)), pa.array(np.append(n, total))], names=["dim", "n"])
 
-    rows = df.select(F.lower(text).alias("t")).mapInArrow(run, "dim int, n bigint").groupBy("dim").agg(F.sum("n").alias("n")).collect()
+    rows = df.select(F.lower(text).alias("t")).mapInArrow(lean(run), "dim int, n bigint").groupBy("dim").agg(F.sum("n").alias("n")).collect()
     got = {r["dim"]: r["n"] for r in rows}
     return got.get(-1, 0), np.array([got.get(i, 0) for i in range(DIMS)], np.int64)
 
@@ -227,4 +227,4 @@ def classify(df: DataFrame, model: Model, text: str = "text", only_kept: bool =
                 else:
                     yield bpe._replace(b, keep, {"language": pa.array(languages[at], pa.string()), "similarity": pa.array(np.round(value, 6)), "rejected": pa.array(rejected)}, schema)
 
-    return df.select(*(F.col(f"`{c}`") for c in keep), F.lower(F.col(f"`{text}`")).alias(lowered)).mapInArrow(run, schema)
+    return df.select(*(F.col(f"`{c}`") for c in keep), F.lower(F.col(f"`{text}`")).alias(lowered)).mapInArrow(lean(run), schema)

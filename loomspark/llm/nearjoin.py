@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import shared
-from loomspark.llm.vec import mix, pieces, span_hashes, utf8, words
+from loomspark.llm.vec import lean, mix, pieces, span_hashes, utf8, words
 
 N = 3
 THRESHOLD = 0.5
@@ -135,7 +135,7 @@ def _entries(df: DataFrame, n: int, trees: int, depth: int, k: int, text: str, d
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f1), pa.array(f2), lists], names=["doc_id", "f1", "f2", "keys"]).filter(pa.array(size > 0))
 
     read = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.lower(F.col(f"`{text}`")).alias("t")).where("doc_id is not null and t is not null")
-    sketched = read.mapInArrow(run, "doc_id bigint, f1 bigint, f2 bigint, keys array<bigint>")
+    sketched = read.mapInArrow(lean(run), "doc_id bigint, f1 bigint, f2 bigint, keys array<bigint>")
     merged = sketched.groupBy("f1", "f2").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"), F.first("keys").alias("keys"), F.count("*").alias("copies"))
     # the table is written once, so the numbers stay
     return shared.store(merged.withColumn("entry", F.monotonically_increasing_id()), "entries")
@@ -254,7 +254,7 @@ def _sets(df: DataFrame, wanted: DataFrame, n: int, text: str, doc_id: str) -> D
                 sets = [np.unique(code[edge[i] : edge[i + 1]]).tobytes() for i in np.flatnonzero(own)]
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(own)), pa.array(sets, pa.binary())], names=["entry", "grams"])
 
-    return joined.mapInArrow(run, "entry bigint, grams binary")
+    return joined.mapInArrow(lean(run), "entry bigint, grams binary")
 
 
 def entries_and_pairs(df: DataFrame, n: int = N, threshold: float = THRESHOLD, target: float = TARGET, trees: int = TREES, depth: int = DEPTH, block: int = BLOCK, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -262,7 +262,7 @@ def entries_and_pairs(df: DataFrame, n: int = N, threshold: float = THRESHOLD, t
     k = prefix_length(threshold, target, trees, depth)
     entries = _entries(df, n, trees, depth, k, text, doc_id)
     labels = entries.select(F.explode("keys").alias("key"), "entry")
-    members = labels.repartition("key").sortWithinPartitions("key", "entry").mapInArrow(_leaders, "leader bigint, entry bigint").distinct()
+    members = labels.repartition("key").sortWithinPartitions("key", "entry").mapInArrow(lean(_leaders), "leader bigint, entry bigint").distinct()
     members = members.unionByName(members.select("leader", F.col("leader").alias("entry")).distinct())
     members = shared.store(members, "members")
     sizes = members.groupBy("leader").agg(F.count("*").alias("m")).where(F.col("m") > block).select("leader", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
@@ -272,7 +272,7 @@ def entries_and_pairs(df: DataFrame, n: int = N, threshold: float = THRESHOLD, t
     wanted = entries.join(members.select("entry").distinct(), "entry", "left_semi").select("entry", "f1", "f2", F.element_at("doc_ids", 1).alias("doc_id"))
     sets = _sets(df, shared.store(wanted, "wanted"), n, text, doc_id)
     together = tiles.join(sets, "entry").select("leader", "i", "j", "entry", "part", "grams")
-    pairs = together.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "entry").mapInArrow(_verifier(threshold), "a bigint, b bigint, jaccard double").dropDuplicates(["a", "b"])
+    pairs = together.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "entry").mapInArrow(lean(_verifier(threshold)), "a bigint, b bigint, jaccard double").dropDuplicates(["a", "b"])
     return entries.select("entry", "doc_ids", "copies"), pairs
 
 

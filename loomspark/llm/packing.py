@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import bpe, shared
-from loomspark.llm.vec import pieces, utf8
+from loomspark.llm.vec import lean, pieces, utf8
 
 WINDOW = 4096
 OPEN = 64
@@ -125,7 +125,7 @@ def pack(df: DataFrame, path: str = bpe.DEFAULT_VOCABULARY, window: int = WINDOW
             yield from _rows(done, True, kind)
         yield from _rows(fit.close(), True, kind)
 
-    placed = shared.store(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(place, schema).withColumn("part", F.spark_partition_id()), "packing")
+    placed = shared.store(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(place), schema).withColumn("part", F.spark_partition_id()), "packing")
     parts = placed.agg(F.max("part")).first()[0]
     group = F.floor(F.col("part") / fan_in)
     whole = placed.where("whole").drop("whole", "part")
@@ -133,4 +133,4 @@ def pack(df: DataFrame, path: str = bpe.DEFAULT_VOCABULARY, window: int = WINDOW
         return whole
     # the fullest first, which is best fit decreasing; the rest of the order makes the result repeatable
     left = placed.where("not whole").repartition(parts // fan_in + 1, group).sortWithinPartitions(group, F.desc("n_tokens"), "doc_ids", "starts")
-    return whole.unionByName(left.drop("part", "whole").mapInArrow(merge, schema).drop("whole"))
+    return whole.unionByName(left.drop("part", "whole").mapInArrow(lean(merge), schema).drop("whole"))

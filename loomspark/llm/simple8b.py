@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from loomspark.llm import bpe
-from loomspark.llm.vec import pieces, utf8
+from loomspark.llm.vec import lean, pieces, utf8
 
 BLOCK = 256
 #: Number and width of the ids of a word, by selector; selector 0 escapes.
@@ -172,7 +172,7 @@ def pack_ids(df: DataFrame, ids: str = "ids") -> DataFrame:
                 raise ValueError("an id is null")
             yield bpe._replace(b, keep, _packed(flat.to_numpy(zero_copy_only=False), offsets, null), schema)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def unpack_ids(df: DataFrame, ids: str = "ids") -> DataFrame:
@@ -194,7 +194,7 @@ def unpack_ids(df: DataFrame, ids: str = "ids") -> DataFrame:
             np.cumsum(np.where(null, 0, number), out=offsets[1:])
             yield bpe._replace(b, keep, {ids: bpe._lists(values.astype(np.int64), offsets, null)}, schema)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def encode_packed(df: DataFrame, path: str = bpe.DEFAULT_VOCABULARY, text: str = "text") -> DataFrame:
@@ -211,6 +211,6 @@ def encode_packed(df: DataFrame, path: str = bpe.DEFAULT_VOCABULARY, text: str =
                 values, offsets = e.encode(*utf8(column))
                 yield bpe._replace(b, keep, _packed(values, offsets, bpe.nulls(column)), schema)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 

@@ -7,6 +7,7 @@ text) and results do not depend on where the cuts fall.
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +18,22 @@ _P = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
+def lean(run):
+    """The function of a mapInArrow that gives freed memory back when a task ends; workers are kept for later tasks and would hold on to it."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+    return inner
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets (length n + 1, starting at 0) of a string column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import shared
+from loomspark.llm.vec import lean
 
 #: Index entries a range of keys should hold.
 RANGE = 200_000
@@ -138,7 +139,7 @@ def index_runs(df: DataFrame, id: str = "page_id", url: str = "url", payload: st
     fixed = len(header("", "20000101000000", 0)) - 1 + 4  # all but the url and the digits of the length
     size = F.lit(fixed) + F.coalesce(F.octet_length(F.col(url)), F.lit(0)) + F.octet_length(body) + F.length(F.octet_length(body).cast("string"))
     entries = df.select(surt(F.col(url)).alias("url_key"), stamp.alias("timestamp"), F.col(id).cast("long").alias("id"), F.col(url).alias("url"), F.sha1(body.cast("binary")).alias("digest"), size.cast("long").alias("size"), F.spark_partition_id().alias("run"))
-    written = entries.mapInArrow(_write_order, INDEX)
+    written = entries.mapInArrow(lean(_write_order), INDEX)
     return shared.store(written.sortWithinPartitions("url_key", "timestamp", F.asc_nulls_first("id")), "capture-runs")
 
 
@@ -181,7 +182,7 @@ def merge_runs(runs: DataFrame, entries_per_range: int = RANGE) -> DataFrame:
     # split keys come from a sample of all runs; a url with very many captures is split by time
     cut = runs.repartitionByRange(ranges, *order) if ranges > 1 else runs.coalesce(1)
     sorted_runs = cut.sortWithinPartitions("run", *order)
-    merged = sorted_runs.mapInArrow(_merged, INDEX + ", nth bigint, place bigint").withColumn("range", F.spark_partition_id())
+    merged = sorted_runs.mapInArrow(lean(_merged), INDEX + ", nth bigint, place bigint").withColumn("range", F.spark_partition_id())
     merged = shared.store(merged, "capture-ranges")
     # what came before: one row for each range, and for a history that crosses ranges what the earlier ones hold of it
     ends = merged.groupBy("range").agg(F.count("*").alias("n"), F.min("url_key").alias("low"), F.max("url_key").alias("high"), F.max_by("nth", "place").alias("tail")).orderBy("range").collect()
