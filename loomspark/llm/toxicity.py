@@ -120,16 +120,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def distinct(texts: list[str], toxic: list[int]) -> list[int]:
     """Places of the texts without near copies of an earlier one of their class: a text copied many times would make its chance words look telling."""
-    code, row = nearjoin.ngrams(*utf8(pa.array(texts, pa.string())))
-    keys = nearjoin.prefixes(nearjoin.signatures(code, row, len(texts)), 32, 4, 4)
-    worded = np.bincount(row, minlength=len(texts)) > 0
-    seen: set[tuple[int, int, int]] = set()
-    out = []
-    for i, (own, label) in enumerate(zip(keys.tolist(), toxic)):
-        mine = [(label, t, k) for t, k in enumerate(own)]
-        if not worded[i] or seen.isdisjoint(mine):
-            out.append(i)
-        seen.update(mine)
+    seen: set[tuple[int, int]] = set()
+    out, i = [], 0
+    for b in pieces(pa.record_batch([pa.array(texts, pa.string())], ["text"]), most=1 << 18):
+        code, row = nearjoin.ngrams(*utf8(b.column(0)))
+        # a key holds the number of its trie already
+        keys = nearjoin.prefixes(nearjoin.signatures(code, row, b.num_rows), 32, 4, 4)
+        worded = np.bincount(row, minlength=b.num_rows) > 0
+        for own, has in zip(keys.tolist(), worded.tolist()):
+            mine = [(toxic[i], k) for k in own]
+            if not has or seen.isdisjoint(mine):
+                out.append(i)
+            if has:
+                seen.update(mine)
+            i += 1
     return out
 
 
