@@ -13,8 +13,8 @@ from loomspark.llm import exact, langid, nearjoin, packing, quality, shared
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail a rule of the policy."""
-    return quality.keep(docs)
+    """Drops documents that fail a rule of the policy, none of which limits their length."""
+    return quality.keep(docs, quality.ANY_LENGTH)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

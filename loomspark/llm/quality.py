@@ -62,6 +62,13 @@ RULES: list[tuple[str, str]] = [
 ]
 BIT = {name: 1 << k for k, (name, _) in enumerate(RULES)}
 
+#: A rule beside the ledger, in the bit after its last. The share that `variety` takes of a whole text falls with length
+#: alone; this one is that of each stretch of STRETCH consecutive words, weighed by its words, over all of the text.
+STRETCH = 1000
+STRETCH_WORDS = f"cast(if(size(w) <= {STRETCH}, size(d), aggregate(sequence(1, greatest(size(w), 1), {STRETCH}), 0, (n, i) -> n + size(array_distinct(slice(w, i, {STRETCH}))))) as bigint)"
+STRETCH_RULE = ("stretch_variety", "n_words >= 50 and stretch_words * 100 < n_words * 35")
+STRETCH_BIT = 1 << len(RULES)
+
 
 def mask(*names: str) -> int:
     return sum(BIT[n] for n in names)
@@ -73,6 +80,8 @@ POLICIES: dict[str, int] = {
     "v2": sum(BIT.values()),
 }
 POLICY = "v1"
+#: `v1` without its two limits to length: `many_words`, and `variety`, which `stretch_variety` replaces. For `keep` only, as the ledger lacks the bit.
+ANY_LENGTH = POLICIES["v1"] & ~mask("many_words", "variety") | STRETCH_BIT
 
 
 def _quoted(s: str, spark: bool) -> str:
@@ -88,19 +97,21 @@ def _fill(sql: str, spark: bool) -> str:
     return sql.replace("{stop}", ", ".join(f"'{w}'" for w in STOP))
 
 
-def _bits_sql() -> str:
-    return " + ".join(f"case when {c} then {1 << k} else 0 end" for k, (_, c) in enumerate(RULES))
+def _bits_sql(rules: list[tuple[str, str]] = RULES) -> str:
+    return " + ".join(f"case when {c} then {1 << k} else 0 end" for k, (_, c) in enumerate(rules))
 
 
-def _measured(df: DataFrame, text: str) -> tuple[DataFrame, Column]:
-    """df in a struct `row` beside the measurements, and the bits over them."""
+def _measured(df: DataFrame, text: str, stretches: bool = False) -> tuple[DataFrame, Column]:
+    """df in a struct `row` beside the measurements, and the bits over them; stretches: with the rule beside the ledger."""
+    more = [F.expr(STRETCH_WORDS).alias("stretch_words")] if stretches else []
+    rules = [*RULES, STRETCH_RULE] if stretches else RULES
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
     # columns of the input stay inside the struct, so none can clash with a measurement
     at = df.select(row, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     at = at.select("row", "t", F.filter(F.split("t", f"[{SPACE}]+"), lambda x: x != "").alias("w"), F.split("t", "\n").alias("l"))
     at = at.select("*", F.array_distinct("w").alias("d"))
     # a column that is not deterministic keeps the optimizer from pushing a filter that names it below this point, where it would hold every measurement many times over
-    return at.select("row", *(F.expr(_fill(sql, True)).alias(name) for name, sql, _ in MEASURES), F.spark_partition_id().alias("measured here")), F.expr(f"cast({_bits_sql()} as bigint)")
+    return at.select("row", *(F.expr(_fill(sql, True)).alias(name) for name, sql, _ in MEASURES), *more, F.spark_partition_id().alias("measured here")), F.expr(f"cast({_bits_sql(rules)} as bigint)")
 
 
 def ledger(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -120,7 +131,7 @@ def judge(df: DataFrame, policies: dict[str, int] | None = None) -> DataFrame:
 
 def keep(df: DataFrame, policy: int = POLICIES[POLICY], text: str = "text") -> DataFrame:
     """The rows of df that fail no rule of the policy, with its columns."""
-    measured, bits = _measured(df, text)
+    measured, bits = _measured(df, text, bool(policy & STRETCH_BIT))
     return measured.where(passes(bits, policy) & (F.col("measured here") >= 0)).select("row.*")
 
 

@@ -46,3 +46,13 @@ def test_run_equals_the_stages(spark):
 def test_small_and_odd_tables(spark, tmp_path, rows):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_long_clean_text_is_kept(spark):
+    """Words drawn from a long-tailed vocabulary as in natural text: 60,000 and 600,000 of them fall below 35 % distinct, no stretch of them does; a loop of few words stays out at any length."""
+    rng = np.random.default_rng(0)
+    drawn = lambda n: " ".join(f"word{int(x)}" for x in rng.zipf(1.15, n) % 200_000)
+    texts = {1: drawn(900), 2: drawn(60_000), 3: drawn(600_000), 4: "one two three four five " * 50, 5: "one two three four five " * 120_000}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {i for i, t in texts.items() if len(set(t.split())) < 0.35 * len(t.split())} == {2, 3, 4, 5}
+    assert {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs, "").select("doc_id").collect()} == {1, 2, 3}
