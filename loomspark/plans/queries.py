@@ -146,8 +146,9 @@ def token_estimate(spark, sf_dir):
     return docs.select("doc_id", "tokens", chunksets.token_limit(F.col("tokens")).alias("token_limit"))
 
 
-def _sets(spark, sf_dir):
-    items = corpora.table(spark, sf_dir, "lineitem").where("l_linenumber <= 4")
+def _sets(spark, sf_dir, every=False):
+    items = corpora.table(spark, sf_dir, "lineitem")
+    items = items if every else items.where("l_linenumber <= 4")
     return items.groupBy(F.col("l_suppkey").alias("tree"), F.col("l_orderkey").alias("local_index")).agg(F.array_sort(F.collect_set(F.col("l_linenumber"))).alias("chunk_ids"))
 
 
@@ -157,6 +158,17 @@ def superset_dedup(spark, sf_dir):
     return chunksets.drop_subsets(_sets(spark, sf_dir), ["tree"]).select("tree", "local_index", ids_text("chunk_ids").alias("chunk_ids"))
 
 
+_ALL_SETS = "select l_suppkey as tree, l_orderkey as local_index, list_sort(list(distinct l_linenumber)) as ids from lineitem group by all"
+
+
+@query(f"""with s as ({_ALL_SETS})
+select tree, local_index, array_to_string(ids, ',') as chunk_ids from s where not exists (select 1 from s o where o.tree = s.tree and list_has_all(o.ids, s.ids) and (len(o.ids) > len(s.ids) or (len(o.ids) = len(s.ids) and o.local_index < s.local_index)))""")
+def superset_dedup_all(spark, sf_dir):
+    """The same over all line items."""
+    sets = _sets(spark, sf_dir, every=True)
+    return chunksets.drop_subsets(sets, ["tree"]).select("tree", "local_index", ids_text("chunk_ids").alias("chunk_ids"))
+
+
 @query()
 def chunksets_optimized(spark, sf_dir):
     return chunksets.budgeted(corpora.conversation_tree(spark, sf_dir), ["file_path"])

@@ -286,3 +286,16 @@ def test_registered_queries(spark, compare):
 def test_actions_do_not_depend_on_partitions(spark):
     a = queries.QUERIES["change_actions"](spark, "/root/testdata/sf0.001")
     assert {r.action for r in a.collect()} == {incremental.UNCHANGED, incremental.TOUCHED, incremental.APPEND, incremental.REINDEX}
+
+
+def test_superset_dedup_of_all_line_items(spark, compare, tmp_path):
+    """Against brute force on a fixture with line numbers over 4, and against SQL."""
+    rows = [(1, 10, 1), (1, 10, 2), (1, 11, 2), (1, 11, 5), (1, 12, 5), (1, 13, 6), (1, 13, 7), (1, 14, 7), (1, 15, 6), (1, 15, 7), (2, 10, 7), (2, 11, 7), (2, 11, 7)]
+    spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    sets = {}
+    for tree_, order, line in rows:
+        sets.setdefault((tree_, order), set()).add(line)
+    want = {k: s for k, s in sets.items() if not any(o[0] == k[0] and s <= t and (len(t) > len(s) or o[1] < k[1]) for o, t in sets.items() if o != k)}
+    got = {(r.tree, r.local_index): {int(x) for x in r.chunk_ids.split(",")} for r in queries.QUERIES["superset_dedup_all"](spark, str(tmp_path)).collect()}
+    assert got == want and set(want) == {(1, 10), (1, 11), (1, 13), (2, 10)}
+    compare(queries.QUERIES["superset_dedup_all"](spark, "/root/testdata/sf0.001"), queries.ORACLE_SQL["superset_dedup_all"])
