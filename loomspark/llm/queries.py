@@ -60,6 +60,11 @@ def op9_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_index(_table(spark, sf_dir, "pages")).drop("run", "record_offset")
 
 
+def op9_capture_index_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the run and the offset in it at which each record lies, which SQL cannot give."""
+    return warc.capture_index(_table(spark, sf_dir, "pages"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of every document with the verdict of each policy."""
     return quality.judge(quality.ledger(_table(spark, sf_dir, "documents")))
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_near_copies": op8_near_copies,
     "op9_capture_index": op9_capture_index,
+    "op9_capture_index_full": op9_capture_index_full,
     "op10_quality": op10_quality,
     "quality_ablation": quality_ablation,
 }

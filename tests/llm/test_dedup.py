@@ -206,6 +206,22 @@ def test_capture_ranges(spark, size):
         assert [p.decode() for *_, p in read] == [html[r.id].html for r in own]
 
 
+def test_full_index_leads_to_records(spark, compare):
+    """Every entry of the registered query is followed to its record; the other columns are those of SQL."""
+    index = QUERIES["op9_capture_index_full"](spark, SF)
+    compare(index.drop("run", "record_offset"), ORACLE_SQL["op9_capture_index"])
+    html = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    runs = defaultdict(list)
+    for r in index.collect():
+        runs[r.run].append(r)
+    for own in runs.values():
+        own.sort(key=lambda r: r.record_offset)
+        data = b"".join(warc.record(r.url, r.timestamp, html[r.id].encode()) for r in own)
+        for r in own:
+            one = list(warc.read_records(data[r.record_offset : r.record_offset + r.record_length]))
+            assert [p.decode() for *_, p in one] == [html[r.id]]
+
+
 def test_capture_edges(spark):
     rows = [(1, None, None), (None, "", ""), (3, "http://a.b/", "x"), (3, "http://a.b/", "x"), (4, "https://user@www.A.b:443/Q?b=2&a=1#f", "y"), (5, "a.b:8080", "é")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as run", "2 as url_key")
