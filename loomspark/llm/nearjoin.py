@@ -1,24 +1,41 @@
 """n-gram Jaccard self-join with a MinHash LSH forest and exact verification.
 
 A document is the set of hashed n-grams of its words (lower-cased runs of
-letters and digits; a text of fewer than n words is one n-gram).  Documents
-with the same words in the same order are one entry.
-
-Candidates: each entry has a label in each of `trees` tries, made of `depth`
-MinHash values.  Labels are matched by prefix, at first whole; the prefix is
-shortened until a pair at the threshold shares one in some trie with at least
-the target probability.  Within a trie equal prefixes lie together once
-sorted; each run of them names its smallest entry as leader, so the number of
-candidates written is that of labels, however large a run is.
-
-Verification: the entries that share a leader are brought together with their
-whole n-gram sets and every pair among them is counted exactly.  Sets of more
-than `block` entries are cut into blocks and every two blocks meet in a task
-of their own, so neither partners nor candidates have a cap.
+letters and digits, see `vec.words`; a text of fewer than n words is one
+n-gram).  Documents with the same words in the same order are one entry, so
+copies are never compared with each other.
+
+Forest: each entry has a label in each of `trees` tries, made of `depth`
+MinHash values and kept as one integer whose leading bits are those of the
+leading values, so that sorted labels are a prefix trie.  `prefix_length`
+gives the shortest prefix that may be needed: the longest one by which a pair
+at the threshold meets in some trie with the target probability.  Entries that
+share it somewhere are brought together once, whole sets and all labels.
+There prefixes are matched at full length first and shortened value by value;
+what meets is counted exactly, and an entry goes on to shorter prefixes only
+while its estimated recall (compared candidates of all it could still meet) is
+below 1.  Entries whose candidates all lie deep in the tries stop there,
+others go down to the shortest prefix; no candidate of the shortest prefix is
+lost by that.
+
+Where candidates meet: connected groups of candidates (at most `block`
+entries) meet in one task, and each set is sent once.  Larger groups are cut
+by the runs of equal prefixes they are made of, a run by its leader (its
+smallest entry), and these into blocks of which every two meet in a task of
+their own; a pair that shares several runs is counted in the first of them
+only.  Neither partners nor candidates have a cap.
+
+The result has a row for each row of the input: its class (the smallest doc_id
+of the documents that links connect) and its links (how many other rows have
+at least that similarity with it).  Pairs are counted where they meet and
+never written.
 
 Defined results: null texts, texts without words and rows with a null doc_id
-are in no pair (`one_of_each` keeps them); equal texts have similarity 1; an
-empty table has no pairs; further columns are not read.
+have no links and are a class of their own (class_id is the doc_id); equal
+texts and repeated rows are links of similarity 1; an empty table gives an
+empty result; further columns are not read.  Texts are taken whole: the n-gram
+sets of a task are bounded in bytes by cutting blocks finer, down to a single
+text.
 """
 
 from __future__ import annotations
@@ -29,18 +46,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import shared
-from loomspark.llm.vec import lean, mix, pieces, span_hashes, utf8, words
+from loomspark.llm.vec import lean, mix, pieces, ragged, span_hashes, utf8, words
 
 N = 3
 THRESHOLD = 0.5
 TARGET = 0.95
 TREES = 48
 DEPTH = 8
-VALUES = 128
+VALUES = 192
 BLOCK = 512
+#: n-grams of the sets that meet in one task, by which blocks are cut finer (a single larger set is a block).
+BLOCK_GRAMS = 4 << 20
 PIECE = 1 << 20
-#: Entries up to which the ids whose sets are wanted are broadcast; more are joined by shuffle.
-BROADCAST = 500_000
+#: Bits of a label that tell values beyond the shortest prefix.
+FINE = 20
+#: Bytes up to which the table of wanted entries is broadcast; a larger one is joined by shuffle.
+BROADCAST = 16 << 20
 
 
 def prefix_length(threshold: float, target: float, trees: int, depth: int) -> int:
@@ -94,17 +115,30 @@ def signatures(code: np.ndarray, row: np.ndarray, rows: int, values: int = VALUE
 
 
 def _picks(trees: int, depth: int, values: int) -> np.ndarray:
-    """The functions of each label: each used about equally often, none twice in a label."""
-    rng = np.random.default_rng(20240229)
-    return np.stack([rng.permutation(values)[:depth] for _ in range(trees)])
+    """The functions of each label (trees x depth): no function is used again before all have been, and none twice in a label if there are enough."""
+    at = np.arange(depth)[:, None] * trees + np.arange(trees)[None, :]
+    order = np.random.default_rng(20240229).permutation(values)
+    # later rounds are shifted, so that a label gets the functions of others
+    return order[(at + 7 * (at // values)) % values].T
+
 
+def fine_bits(depth: int, floor: int) -> int:
+    """Bits of a label for each value beyond the shortest prefix."""
+    return FINE // (depth - floor) if depth > floor else 0
 
-def prefixes(signature: np.ndarray, trees: int, depth: int, k: int) -> np.ndarray:
-    """64-bit keys of the first k values of each label (rows x trees)."""
-    picks = _picks(trees, depth, signature.shape[1])[:, :k]
+
+def labels(signature: np.ndarray, trees: int, depth: int, floor: int) -> np.ndarray:
+    """Labels (rows x trees, uint64): a hash of trie and first `floor` values, then some bits of each further value; leading bits are prefixes."""
+    picks = _picks(trees, depth, signature.shape[1])
     key = np.broadcast_to(np.arange(1, trees + 1, dtype=np.uint64), (len(signature), trees)).copy()
-    for j in range(k):
+    for j in range(floor):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + signature[:, picks[:, j]])
+    bits = fine_bits(depth, floor)
+    for j in range(depth - floor):
+        # from the top down: the leading bits hold the shortest prefix
+        low = np.uint64(bits * (depth - floor - j))
+        value = (mix(signature[:, picks[:, floor + j]].astype(np.uint64)) & np.uint64((1 << bits) - 1)) << (low - np.uint64(bits))
+        key = (key >> low << low) | value
     return key
 
 
@@ -121,175 +155,284 @@ def _digest(code: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, n
     return out[0], out[1]
 
 
-def _entries(df: DataFrame, n: int, trees: int, depth: int, k: int, text: str, doc_id: str) -> DataFrame:
-    """One row for each sequence of n-grams: entry, its doc_ids (sorted), digest and prefix keys; kept as a table."""
+def _sketches(df: DataFrame, n: int, trees: int, depth: int, floor: int, text: str, doc_id: str) -> DataFrame:
+    """A row for each row of df: doc_id, a hash of the text, and for texts with words (and a doc_id) digest, number of n-grams and labels; kept as a table."""
 
     def run(batches):
         for batch in batches:
             for b in pieces(batch, "t", PIECE):
-                code, row = ngrams(*utf8(b.column(1)), n)
+                code, row = ngrams(*utf8(b.column(2)), n)
                 f1, f2 = _digest(code, row, b.num_rows)
                 size = np.bincount(row, minlength=b.num_rows)
-                keys = prefixes(signatures(code, row, b.num_rows), trees, depth, k)
-                lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, trees, dtype=np.int32), pa.array(keys.ravel().astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f1), pa.array(f2), lists], names=["doc_id", "f1", "f2", "keys"]).filter(pa.array(size > 0))
+                found = labels(signatures(code, row, b.num_rows), trees, depth, floor)
+                none = (size == 0) | b.column(0).is_null().to_numpy(zero_copy_only=False)
+                off = pa.array(np.arange(0, found.size + 1, trees, dtype=np.int32), mask=np.append(none, False))
+                lists = pa.ListArray.from_arrays(off, pa.array(found.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f1, mask=none), pa.array(f2, mask=none), pa.array(size), lists], names=["doc_id", "h", "f1", "f2", "n", "labels"])
+
+    column = F.col(f"`{text}`")
+    read = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(column).alias("h"), F.lower(column).alias("t"))
+    return shared.store(read.mapInArrow(lean(run), "doc_id bigint, h bigint, f1 bigint, f2 bigint, n bigint, labels array<bigint>"), "sketches")
 
-    read = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.lower(F.col(f"`{text}`")).alias("t")).where("doc_id is not null and t is not null")
-    sketched = read.mapInArrow(lean(run), "doc_id bigint, f1 bigint, f2 bigint, keys array<bigint>")
-    merged = sketched.groupBy("f1", "f2").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"), F.first("keys").alias("keys"), F.count("*").alias("copies"))
+
+def _entries(sketches: DataFrame) -> DataFrame:
+    """One row for each sequence of n-grams: entry, digest, first document, number of rows, n-grams and labels; kept as a table."""
+    merged = sketches.where("labels is not null").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "h")).alias("one"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("labels").alias("labels"))
     # the table is written once, so the numbers stay
     return shared.store(merged.withColumn("entry", F.monotonically_increasing_id()), "entries")
 
 
 def _leaders(batches):
-    """Rows sorted by key and entry -> (leader, entry) for each run of two or more."""
-    left = None
+    """Rows sorted by key and entry -> (key, leader, entry) for the rows of each run of two or more, its leader's own among them; keeps two numbers of a run, however long."""
+    last, leader, said = None, 0, False
     for b in batches:
-        if left is not None:
-            b = pa.Table.from_batches([left, b]).combine_chunks().to_batches()[0]
         if not b.num_rows:
             continue
         key, entry = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        cut = int(new[-1])
-        # of an unfinished run its leader is enough to go on with
-        left = b.slice(cut) if b.num_rows - cut < 4096 else pa.Table.from_batches([b.slice(cut, 1)]).combine_chunks().to_batches()[0]
-        end = cut if left.num_rows == b.num_rows - cut else b.num_rows
-        yield from _runs(key[:end], entry[:end])
-    if left is not None:
-        yield from _runs(*(left.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
-
-
-def _runs(key: np.ndarray, entry: np.ndarray):
-    if len(key) < 2:
-        return
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    size = np.diff(np.append(first, len(key)))
-    leader = np.repeat(entry[first], size)
-    other = entry != leader
-    pair = np.unique(np.stack([leader[other], entry[other]]), axis=1)
-    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["leader", "entry"])
-
-
-def jaccard(sets: list[np.ndarray], ids: np.ndarray, half: np.ndarray | None, threshold: float) -> list[tuple[int, int, float]]:
-    """Pairs (smaller id first) of similarity at least the threshold; with `half` only those across its two values."""
-    m = len(sets)
-    if m < 2:
-        return []
-    size = np.array([len(s) for s in sets], np.int64)
-    if m == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        common = np.array([[0, both], [both, 0]])
-    else:
-        owner = np.repeat(np.arange(m), size)
-        u, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        often = times > 1
-        number = np.cumsum(often) - 1
-        ok = often[code]
-        owner, code = owner[ok], number[code[ok]]
-        common = np.zeros((m, m), np.float64)
-        width = max(1, (1 << 22) // m)
-        order = np.argsort(code, kind="stable")
-        owner, code = owner[order], code[order]
-        for low in range(0, int(often.sum()), width):
-            a, z = np.searchsorted(code, [low, low + width])
-            matrix = np.zeros((m, min(width, int(often.sum()) - low)), np.float32)
-            matrix[owner[a:z], code[a:z] - low] = 1
-            common += matrix @ matrix.T
-    value = common / np.maximum(size[:, None] + size[None, :] - common, 1)
-    i, j = np.nonzero(np.triu(value >= threshold, 1))
-    if half is not None:
-        across = half[i] != half[j]
-        i, j = i[across], j[across]
-    return [(min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y])), float(value[x, y])) for x, y in zip(i, j)]
-
-
-def _verifier(threshold: float):
-    """Rows sorted by tile -> verified pairs; holds the sets of one tile at a time."""
-
-    def settle(half: list, ids: list, sets: list, same: bool):
-        order = sorted(range(len(ids)), key=lambda k: ids[k])
-        return jaccard([np.frombuffer(sets[k], np.uint64) for k in order], np.array([ids[k] for k in order]), None if same else np.array([half[k] for k in order]), threshold)
+        first = np.flatnonzero(np.append(key[0] != last, key[1:] != key[:-1]))
+        goes_on = not (len(first) and first[0] == 0)
+        head, lead, silent = entry[first], entry[first], np.ones(len(first), bool)
+        bounds = first
+        if goes_on:
+            bounds, lead, silent = np.append(0, first), np.append(leader, head), np.append(not said, silent)
+        size = np.diff(np.append(bounds, len(key)))
+        others = size - 1
+        if goes_on:
+            others[0] += 1
+        run = np.repeat(np.arange(len(bounds)), size)
+        member = np.ones(len(key), bool)
+        member[first] = False
+        own = np.flatnonzero((others > 0) & silent)
+        out_key = np.concatenate([key[bounds[own]], key[member]])
+        if len(out_key):
+            yield pa.RecordBatch.from_arrays([pa.array(out_key), pa.array(np.concatenate([lead[own], lead[run[member]]])), pa.array(np.concatenate([lead[own], entry[member]]))], names=["key", "leader", "entry"])
+        said = bool(others[-1] > 0)
+        last, leader = key[-1], lead[-1]
+
+
+class _Counter:
+    """Sets of n-grams, numbered together so that what two of them share can be counted by marking."""
+
+    def __init__(self, group: list[np.ndarray]):
+        self.size = np.array([len(x) for x in group], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        every, self.code = np.unique(np.concatenate(group), return_inverse=True)
+        self.marked = np.zeros(len(every), bool)
+
+    def jaccard(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Similarity of the sets a[i] and b[i] (ordered by a): the first is marked, the members of the second that are marked are counted."""
+        size, start = self.size, self.start
+        common = np.empty(len(a), np.int64)
+        edge = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        for low, high in zip(edge.tolist(), [*edge[1:].tolist(), len(a)]):
+            own = self.code[start[a[low]] : start[a[low]] + size[a[low]]]
+            self.marked[own] = True
+            # partners in parts of about a million n-grams
+            total = np.cumsum(size[b[low:high]])
+            at = 0
+            while at < high - low:
+                end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 20), "right")))
+                who = b[low + at : low + end]
+                length = size[who]
+                hits = self.marked[ragged(self.code, start[who], length)]
+                common[low + at : low + end] = np.add.reduceat(hits, np.cumsum(length) - length, dtype=np.int64)
+                at = end
+            self.marked[own] = False
+        return common / (size[a] + size[b] - common)
+
+
+def verify(group: list[np.ndarray], label: np.ndarray, copies: np.ndarray, half: np.ndarray | None, leaders: np.ndarray | None, cell: int, threshold: float, depth: int, floor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each set of a task: how many rows link to it, the smallest number it is linked with, and the prefix length at which it stopped.
+
+    With `half` only pairs across its two values count; with `leaders` (by
+    entry and trie) only those whose first common run has the leader `cell`.
+    """
+    m = len(group)
+    links, root, stop = np.zeros(m, np.int64), np.arange(m), np.full(m, floor)
+    bits = fine_bits(depth, floor)
+
+    def meet(length: int) -> np.ndarray:
+        """Pairs (upper triangle) that share a prefix of that length in some trie."""
+        prefix = label >> np.uint64(FINE if length == floor else bits * (depth - length))
+        out = np.zeros((m, m), bool)
+        if m <= 64:
+            np.any(prefix[:, None, :] == prefix[None, :, :], axis=2, out=out)
+        else:
+            for t in range(prefix.shape[1]):
+                column = prefix[:, t]
+                out |= column[:, None] == column[None, :]
+        out &= np.tri(m, k=-1, dtype=bool).T
+        return out
 
-    def batch_of(found):
-        a, b, v = zip(*found)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(v, pa.float64())], names=["a", "b", "jaccard"])
+    could = meet(floor)
+    if half is not None:
+        could &= half[:, None] != half[None, :]
+    if leaders is not None and could.any():
+        x, y = np.nonzero(could)
+        for low in range(0, len(x), 1 << 16):
+            a, b = x[low : low + (1 << 16)], y[low : low + (1 << 16)]
+            same = (leaders[a] == leaders[b]) & (leaders[a] >= 0)
+            could[a, b] = leaders[a, same.argmax(1)] == cell
+    left = could.sum(0) + could.sum(1)
+    going = left > 0
+    found: list[np.ndarray] = []
+    counter = None
+    for length in range(depth, floor - 1, -1):
+        if not going.any():
+            break
+        # what meets now for the first time, and concerns an entry that has not all it could meet
+        now = could & (meet(length) if length > floor else True)
+        if now.any():
+            could &= ~now
+            a, b = np.nonzero(now)
+            counter = counter or _Counter(group)
+            near = counter.jaccard(a, b) >= threshold
+            found.append(np.stack([a[near], b[near]]))
+            left = left - now.sum(0) - now.sum(1)
+        done = going & (left == 0)
+        stop[done] = length
+        going &= ~done
+    if found:
+        a, b = np.concatenate(found, axis=1)
+        links += np.bincount(a, copies[b], m).astype(np.int64) + np.bincount(b, copies[a], m).astype(np.int64)
+        while len(a):
+            new = root.copy()
+            np.minimum.at(new, a, root[b])
+            np.minimum.at(new, b, root[a])
+            new = new[new]
+            if np.array_equal(new, root):
+                break
+            root = new
+    return links, root, stop
+
+
+def _verifier(threshold: float, depth: int, floor: int):
+    """Rows sorted by tile -> for each set of it (entry, links, root, prefix, whole); holds the sets of one tile at a time."""
+
+    def settle(rows: list, tile: tuple):
+        # a text that is there twice brings its entry twice
+        rows = list({r[0]: r for r in rows}.values())
+        ids = np.array([r[0] for r in rows], np.int64)
+        label = np.stack([r[3] for r in rows]).view(np.uint64)
+        leaders, whole = None, rows[0][4] is None
+        if not whole:
+            # aligned with the tries: the leader of the run that a label lies in, or -1
+            key = (label >> np.uint64(FINE)).astype(np.int64)
+            leaders = np.full(key.shape, -1, np.int64)
+            for i, r in enumerate(rows):
+                own = np.array([x["key"] for x in r[4]], np.int64)
+                at = np.minimum(np.searchsorted(own, key[i]), len(own) - 1)
+                hit = own[at] == key[i]
+                leaders[i, hit] = np.array([x["leader"] for x in r[4]], np.int64)[at[hit]]
+        half = None if tile[1] == tile[2] else np.array([r[1] for r in rows])
+        links, root, stop = verify([r[5] for r in rows], label, np.array([r[2] for r in rows], np.int64), half, leaders, tile[0], threshold, depth, floor)
+        return ids, links, ids[root], stop.astype(np.int32), np.full(len(ids), whole)
+
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["entry", "links", "root", "prefix", "whole"])
 
     def run(batches):
-        now, half, ids, sets, found = None, [], [], [], []
+        now, rows, out, n = None, [], [], 0
         for b in batches:
-            for leader, i, j, entry, part, grams in zip(*(b.column(k).to_pylist() for k in range(5)), b.column(5)):
-                if (leader, i, j) != now:
+            columns = [b.column(k) for k in range(9)]
+            flat, off = columns[6].flatten().to_numpy(zero_copy_only=False), columns[6].offsets.to_numpy()
+            off = off - off[0]
+            runs = columns[7].to_pylist() if columns[7].null_count < b.num_rows else [None] * b.num_rows
+            for k, (cell, i, j, entry, part, copies) in enumerate(zip(*(columns[c].to_pylist() for c in range(6)))):
+                if (cell, i, j) != now:
                     if now is not None:
-                        found += settle(half, ids, sets, now[1] == now[2])
-                    now, half, ids, sets = (leader, i, j), [], [], []
-                    if len(found) >= 50_000:
-                        yield batch_of(found)
-                        found = []
-                half.append(part)
-                ids.append(entry)
-                sets.append(grams.as_buffer())
+                        out.append(settle(rows, now))
+                        n += len(rows)
+                    now, rows = (cell, i, j), []
+                    if n >= 50_000:
+                        yield batch_of(out)
+                        out, n = [], 0
+                # copied, as the batch would stay in memory with any part of it
+                rows.append((entry, part, copies, flat[off[k] : off[k + 1]].copy(), runs[k], np.frombuffer(columns[8][k].as_py(), np.uint64)))
         if now is not None:
-            found += settle(half, ids, sets, now[1] == now[2])
-        if found:
-            yield batch_of(found)
+            out.append(settle(rows, now))
+        if out:
+            yield batch_of(out)
 
     return run
 
 
-def _sets(df: DataFrame, wanted: DataFrame, n: int, text: str, doc_id: str) -> DataFrame:
-    """Whole n-gram sets of the wanted entries (doc_id, f1, f2, entry), as sorted 64-bit hashes."""
-    few = wanted.count() <= BROADCAST
-    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.lower(F.col(f"`{text}`")).alias("t")).where("doc_id is not null and t is not null")
-    joined = docs.join(F.broadcast(wanted) if few else wanted.hint("merge"), "doc_id").select("entry", "f1", "f2", "t")
+def _small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A stored table, marked for broadcast where its measured size allows, else for a join by shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST else df.hint("merge")
+
+
+def _sets(df: DataFrame, wanted: DataFrame, n: int, trees: int, depth: int, floor: int, text: str, doc_id: str) -> DataFrame:
+    """The wanted entries (doc_id, h, f1, f2, ...) with their labels and whole n-gram sets, as sorted 64-bit hashes."""
+    size = wanted.agg(F.sum(64 + 32 * F.size("tiles") + 16 * F.coalesce(F.size("runs"), F.lit(0)))).first()[0] or 0
+    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.lower(F.col(f"`{text}`")).alias("t")).where("doc_id is not null and t is not null")
+    carried = ["entry", "copies", "tiles", "runs"]
+    joined = docs.join(F.broadcast(wanted) if size <= BROADCAST else wanted.hint("merge"), ["doc_id", "h"]).select("f1", "f2", "t", *carried)
 
     def run(batches):
         for batch in batches:
             for b in pieces(batch, "t", PIECE):
-                code, row = ngrams(*utf8(b.column(3)), n)
+                code, row = ngrams(*utf8(b.column(2)), n)
                 f1, f2 = _digest(code, row, b.num_rows)
-                # a doc_id that occurs twice may have brought another text
-                own = (f1 == b.column(1).to_numpy()) & (f2 == b.column(2).to_numpy())
+                # texts of one hash may differ
+                own = (f1 == b.column(0).to_numpy()) & (f2 == b.column(1).to_numpy())
+                found = labels(signatures(code, row, b.num_rows), trees, depth, floor)[own]
                 edge = np.searchsorted(row, np.arange(b.num_rows + 1))
                 sets = [np.unique(code[edge[i] : edge[i + 1]]).tobytes() for i in np.flatnonzero(own)]
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(own)), pa.array(sets, pa.binary())], names=["entry", "grams"])
-
-    return joined.mapInArrow(lean(run), "entry bigint, grams binary")
-
-
-def entries_and_pairs(df: DataFrame, n: int = N, threshold: float = THRESHOLD, target: float = TARGET, trees: int = TREES, depth: int = DEPTH, block: int = BLOCK, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """The entries (entry, doc_ids) and the verified pairs of them (a, b, jaccard)."""
-    k = prefix_length(threshold, target, trees, depth)
-    entries = _entries(df, n, trees, depth, k, text, doc_id)
-    labels = entries.select(F.explode("keys").alias("key"), "entry")
-    members = labels.repartition("key").sortWithinPartitions("key", "entry").mapInArrow(lean(_leaders), "leader bigint, entry bigint").distinct()
-    members = members.unionByName(members.select("leader", F.col("leader").alias("entry")).distinct())
-    members = shared.store(members, "members")
-    sizes = members.groupBy("leader").agg(F.count("*").alias("m")).where(F.col("m") > block).select("leader", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    placed = members.join(sizes, "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"))
-    # every two blocks meet: block p is in the tiles (p, q) and (q, p)
-    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("leader", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "entry", "part")
-    wanted = entries.join(members.select("entry").distinct(), "entry", "left_semi").select("entry", "f1", "f2", F.element_at("doc_ids", 1).alias("doc_id"))
-    sets = _sets(df, shared.store(wanted, "wanted"), n, text, doc_id)
-    together = tiles.join(sets, "entry").select("leader", "i", "j", "entry", "part", "grams")
-    pairs = together.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "entry").mapInArrow(lean(_verifier(threshold)), "a bigint, b bigint, jaccard double").dropDuplicates(["a", "b"])
-    return entries.select("entry", "doc_ids", "copies"), pairs
-
-
-def join(df: DataFrame, **options) -> DataFrame:
-    """Near copies, each row a set of documents of which every two have at least that similarity.
-
-    doc_ids holds the set, and doc_a < doc_b two of it: for documents of the
-    same words all of them (jaccard 1), and for two such groups, or single
-    documents, the members of both.
-    """
-    entries, pairs = entries_and_pairs(df, **options)
-    same = entries.where(F.size("doc_ids") > 1).select("doc_ids", F.lit(1.0).alias("jaccard"))
-    left = entries.select(F.col("entry").alias("a"), F.col("doc_ids").alias("ids_a"))
-    right = entries.select(F.col("entry").alias("b"), F.col("doc_ids").alias("ids_b"))
-    near = pairs.join(left, "a").join(right, "b").select(F.array_sort(F.array_union("ids_a", "ids_b")).alias("doc_ids"), F.round("jaccard", 9).alias("jaccard"), F.element_at("ids_a", 1).alias("x"), F.element_at("ids_b", 1).alias("y"))
-    a, b = F.least("x", "y"), F.greatest("x", "y")
-    return same.select(F.element_at("doc_ids", 1).alias("doc_a"), F.element_at("doc_ids", 2).alias("doc_b"), "jaccard", "doc_ids").unionByName(near.select(a.alias("doc_a"), b.alias("doc_b"), "jaccard", "doc_ids"))
+                lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, trees, dtype=np.int32), pa.array(found.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(b.column(k).filter(pa.array(own)) for k in range(3, 7)), lists, pa.array(sets, pa.binary())], names=[*carried, "labels", "grams"])
+
+    types = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
+    return joined.mapInArrow(lean(run), ", ".join(f"{c} {types[c]}" for c in carried) + ", labels array<bigint>, grams binary")
+
+
+def classes(df: DataFrame, n: int = N, threshold: float = THRESHOLD, target: float = TARGET, trees: int = TREES, depth: int = DEPTH, block: int = BLOCK, block_grams: int = BLOCK_GRAMS, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Sketches of the rows (doc_id, h, f1, f2), and for each entry f1, f2, one (doc_id and h of its first document), copies, links (to rows of other entries), root (of its class) and prefix."""
+    floor = prefix_length(threshold, target, trees, depth)
+    sketches = _sketches(df, n, trees, depth, floor, text, doc_id)
+    entries = _entries(sketches)
+    keys = entries.select(F.explode("labels").alias("label"), "entry").select(F.shiftrightunsigned("label", FINE).alias("key"), "entry")
+    members = shared.store(keys.repartition("key").sortWithinPartitions("key", "entry").mapInArrow(lean(_leaders), "key bigint, leader bigint, entry bigint"), "members")
+    root = components(members.select(F.col("entry").alias("a"), F.col("leader").alias("b")))
+    root = shared.store(root.unionByName(root.select(F.col("root").alias("node"), "root").distinct()), "candidates")
+    group = root.join(entries.select(F.col("entry").alias("node"), "n"), "node").groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("grams"))
+    large = shared.store(group.where((F.col("m") > block) | (F.col("grams") > block_grams)).select("root"), "large")
+    whole = F.array(F.struct(F.col("root").alias("cell"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part")))
+    wanted = root.join(large, "root", "left_anti").select(F.col("node").alias("entry"), whole.alias("tiles"), F.lit(None).cast("array<struct<key:bigint,leader:bigint>>").alias("runs"))
+    has_large = not large.isEmpty()
+    if has_large:
+        own = members.join(root.join(large, "root", "left_semi").select(F.col("node").alias("entry")), "entry", "left_semi")
+        cells = own.select("leader", "entry").distinct().join(entries.select("entry", "n"), "entry")
+        sizes = cells.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_grams)).cast("int").alias("blocks"))
+        placed = cells.join(sizes, "leader").withColumn("part", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"))
+        # every two blocks meet: block p is in the tiles (p, q) and (q, p)
+        tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).groupBy("entry").agg(F.collect_list(F.struct(F.col("leader").alias("cell"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part")).alias("tiles"))
+        runs = own.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("key", "leader"))).alias("runs"))
+        wanted = wanted.unionByName(tiles.join(runs, "entry"))
+    wanted = shared.store(wanted.join(entries.select("entry", "f1", "f2", "copies", F.col("one.doc_id").alias("doc_id"), F.col("one.h").alias("h")), "entry"), "wanted")
+    together = _sets(df, wanted, n, trees, depth, floor, text, doc_id).select(F.explode("tiles").alias("at"), "entry", "copies", "labels", "runs", "grams").select("at.cell", "at.i", "at.j", "entry", "at.part", "copies", "labels", "runs", "grams")
+    counted = shared.store(together.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "entry").mapInArrow(lean(_verifier(threshold, depth, floor)), "entry bigint, links bigint, root bigint, prefix int, whole boolean"), "counted")
+    links = counted.where("whole").select("entry", "links", "root", "prefix")
+    if has_large:
+        parts = counted.where("not whole")
+        joined = components(parts.select(F.col("entry").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "entry")
+        links = links.unionByName(parts.groupBy("entry").agg(F.sum("links").alias("links"), F.min("prefix").alias("prefix")).join(joined, "entry", "left").select("entry", "links", F.coalesce("root", "entry").alias("root"), "prefix"))
+    out = entries.select("entry", "f1", "f2", "one", "copies").join(links, "entry", "left").select("f1", "f2", "one", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "entry").alias("root"), F.coalesce("prefix", F.lit(floor)).alias("prefix"))
+    return sketches.select("doc_id", "h", "f1", "f2"), shared.store(out, "classes")
+
+
+def _first_of_class(found: DataFrame) -> DataFrame:
+    """Entries that have a link or a copy, with `kept`: doc_id and h of the first document of their class."""
+    some = found.where("links > 0 or copies > 1")
+    return some.join(some.groupBy("root").agg(F.min("one").alias("kept")), "root")
+
+
+def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """doc_id, class_id, links and prefix (the length at which its prefixes stopped) for each row of df."""
+    sketches, found = classes(df, text=text, doc_id=doc_id, **options)
+    some = _first_of_class(found).select("f1", "f2", F.col("kept.doc_id").alias("class_id"), (F.col("links") + F.col("copies") - 1).alias("links"), "prefix")
+    some = _small(shared.store(some, "links"), 64)
+    return sketches.join(some, ["f1", "f2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "prefix")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -309,11 +452,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of df without all but one document (the smallest doc_id) of each group of near copies; columns stay."""
-    entries, pairs = entries_and_pairs(df, text=text, doc_id=doc_id, **options)
-    root = components(pairs)
-    grouped = entries.join(root, entries["entry"] == root["node"], "left").select(F.coalesce("root", "entry").alias("root"), "doc_ids")
-    multiple = grouped.withColumn("doc_id", F.explode("doc_ids"))
-    first = grouped.groupBy("root").agg(F.min(F.element_at("doc_ids", 1)).alias("first"))
-    gone = multiple.join(first, "root").where(F.col("doc_id") > F.col("first")).select(F.col("doc_id").alias("id of a near copy"))
-    return df.join(gone.distinct(), F.col(f"`{doc_id}`") == F.col("id of a near copy"), "left_anti")
+    """The rows of df without all but one (the smallest doc_id) of each class of near copies; columns stay.
+
+    Rows are told apart by doc_id and text: where a doc_id has two texts, what
+    happens to one does not touch the other, and of rows that repeat both one stays.
+    """
+    sketches, found = classes(df, text=text, doc_id=doc_id, **options)
+    rows = sketches.join(_small(shared.store(_first_of_class(found).select("f1", "f2", "kept"), "firsts"), 64), ["f1", "f2"])
+    gone = _small(shared.store(rows.where(F.struct("doc_id", "h") != F.col("kept")).select("doc_id", "h").distinct(), "gone"), 32)
+    twice = shared.store(rows.where(F.struct("doc_id", "h") == F.col("kept")).groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h"), "repeated")
+    key, h = F.col(f"row.`{doc_id}`").cast("long"), F.xxhash64(F.col(f"row.`{text}`"))
+    packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    keyed = packed.select("row", key.alias("doc_id"), h.alias("h"))
+    kept = keyed.join(gone, ["doc_id", "h"], "left_anti")
+    if not twice.isEmpty():
+        # the others pass by; of repeated rows any one is taken
+        once = kept.join(twice, ["doc_id", "h"], "left_semi").groupBy("doc_id", "h").agg(F.first("row").alias("row"))
+        kept = kept.join(twice, ["doc_id", "h"], "left_anti").select("doc_id", "h", "row").unionByName(once)
+    return kept.select("row.*")

@@ -51,7 +51,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs and sets of near copies among the documents."""
+    """The class of near copies and the number of links of every document."""
     return nearjoin.join(_table(spark, sf_dir, "documents"))
 
 

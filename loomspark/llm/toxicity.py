@@ -39,6 +39,8 @@ FAIRNESS, SPARSITY = 4.0, 0.0005
 ROUNDS = 300
 #: How many times as frequent a feature must be in toxic documents.
 LIFT = 3.0
+#: Similarity from which a labelled text counts as a copy of another.
+NEAR = 0.5
 #: Sentences of the sample that a mention is put into.
 MENTIONS = 4000
 
@@ -119,20 +121,30 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def distinct(texts: list[str], toxic: list[int]) -> list[int]:
-    """Places of the texts without near copies of an earlier one of their class: a text copied many times would make its chance words look telling."""
-    seen: set[tuple[int, int]] = set()
+    """Places of the texts without near copies (Jaccard similarity of word trigrams at least NEAR) of an earlier one of their class: a text copied many times would make its chance words look telling."""
+    holders: dict[tuple[int, int], list[int]] = {}
+    kept: dict[int, np.ndarray] = {}
     out, i = [], 0
     for b in pieces(pa.record_batch([pa.array(texts, pa.string())], ["text"]), most=1 << 18):
         code, row = nearjoin.ngrams(*utf8(b.column(0)))
-        # a key holds the number of its trie already
-        keys = nearjoin.prefixes(nearjoin.signatures(code, row, b.num_rows), 32, 4, 4)
-        worded = np.bincount(row, minlength=b.num_rows) > 0
-        for own, has in zip(keys.tolist(), worded.tolist()):
-            mine = [(toxic[i], k) for k in own]
-            if not has or seen.isdisjoint(mine):
+        edge = np.searchsorted(row, np.arange(b.num_rows + 1))
+        keys = (nearjoin.labels(nearjoin.signatures(code, row, b.num_rows), 32, 4, 4) >> np.uint64(nearjoin.FINE)).tolist()
+        for k, own in enumerate(keys):
+            grams = np.unique(code[edge[k] : edge[k + 1]])
+            # the tries only say which texts to compare
+            likely = sorted({j for key in own for j in holders.get((toxic[i], key), ())}) if len(grams) else []
+            near = False
+            for j in likely:
+                both = len(np.intersect1d(grams, kept[j], assume_unique=True))
+                if both >= NEAR * (len(grams) + len(kept[j]) - both):
+                    near = True
+                    break
+            if not near:
                 out.append(i)
-            if has:
-                seen.update(mine)
+                if len(grams):
+                    kept[i] = grams
+                    for key in own:
+                        holders.setdefault((toxic[i], key), []).append(i)
             i += 1
     return out
 

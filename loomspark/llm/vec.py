@@ -113,11 +113,18 @@ _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tru
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word: a run of ASCII letters or digits and of non-ASCII characters."""
+    """Start, end and row of each word: a run of ASCII letters or digits and of non-ASCII characters but for punctuation (U+0080 to U+00BF, U+2000 to U+206F, U+3000 to U+303F)."""
     if not len(data):
         e = np.empty(0, np.int64)
         return e, e, e
     is_word = _WORD[data]
+    mark = np.flatnonzero((data == 0xC2) | (data == 0xE2) | (data == 0xE3))
+    if len(mark):
+        second = data[np.minimum(mark + 1, len(data) - 1)]
+        wide = mark[((data[mark] == 0xE2) & ((second == 0x80) | ((second == 0x81) & (data[np.minimum(mark + 2, len(data) - 1)] < 0xB0)))) | ((data[mark] == 0xE3) & (second == 0x80))]
+        is_word[wide] = is_word[wide + 1] = is_word[wide + 2] = False
+        narrow = mark[data[mark] == 0xC2]
+        is_word[narrow] = is_word[narrow + 1] = False
     first = is_word.copy()
     first[1:] &= ~is_word[:-1]
     last = is_word.copy()

@@ -67,7 +67,7 @@ def test_lines_near_the_threshold(spark):
 
 
 def shingles(text, n=3):
-    w = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", text.lower())
+    w = re.findall(r"[a-z0-9À-῿⁰-⿿぀-\U0010ffff]+", text.lower())
     return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
 
 
@@ -81,15 +81,41 @@ def brute(docs, threshold):
     return {p: j for p, j in found.items() if j >= threshold}
 
 
-def found_pairs(rows):
-    out = {}
-    for r in rows:
-        assert r.doc_a < r.doc_b and {r.doc_a, r.doc_b} <= set(r.doc_ids)
-        for p in itertools.combinations(sorted(r.doc_ids), 2):
-            out[p] = max(out.get(p, 0), r.jaccard)
+def links_of(pairs):
+    out = Counter()
+    for p in pairs:
+        out.update(p)
     return out
 
 
+def classes_of(ids, pairs):
+    """Smallest id reached by pairs, for each id."""
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def check_links(rows, docs, want, recall=0.95):
+    """Rows of the join against all pairs found by brute force: no link too many, few too few, classes those of links."""
+    assert len(rows) == len(docs)
+    need, links = links_of(want), Counter({r.doc_id: r.links for r in rows})
+    assert all(n <= need[i] for i, n in links.items())
+    assert sum(links.values()) >= recall * sum(need.values())
+    full, found = classes_of([i for i, _ in docs], want), {r.doc_id: r.class_id for r in rows}
+    # a class found is part of one of all links
+    assert all(full[c] == full[i] for i, c in found.items())
+    assert all(found[i] == full[i] for i in found) or recall < 1
+    assert all((links[i] > 0) == (Counter(found.values())[found[i]] > 1) for i in list(found)[:50])
+
+
 def variants(n, seed=3):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(3000)]
@@ -106,11 +132,28 @@ def test_near_copies_against_brute_force(spark):
     docs = variants(100) + [(10_000 + r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = brute(docs, nearjoin.THRESHOLD)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    got = found_pairs(nearjoin.join(df).collect())
-    assert not set(got) - set(want) and len(set(got) & set(want)) >= 0.95 * len(want)
-    assert all(got[p] == 1 or abs(got[p] - want[p]) < 1e-6 for p in got)
-    # the same when sets of candidates are cut into blocks
-    assert found_pairs(nearjoin.join(df, block=2).collect()) == got
+    rows = nearjoin.join(df).collect()
+    check_links(rows, docs, want)
+    # the same when groups of candidates are cut into runs and blocks, by number or by size
+    for cut in ({"block": 3}, {"block_grams": 200}):
+        again = nearjoin.join(df, **cut).collect()
+        assert sorted((r.doc_id, r.class_id, r.links) for r in again) == sorted((r.doc_id, r.class_id, r.links) for r in rows)
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_large_families(spark, block):
+    """50 equal documents, and 200 near copies of one: every one of them is in the class with all its links."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    docs = [(i, "the same words in every one of these fifty texts") for i in range(50)]
+    docs += [(100 + k, " ".join(w if rng.random() > 0.02 else f"x{rng.randint(0, 9999)}" for w in base)) for k in range(200)]
+    docs += [(900 + k, " ".join(f"{k}u{i}" for i in range(30))) for k in range(5)]
+    want = brute(docs, nearjoin.THRESHOLD)
+    rows = nearjoin.join(spark.createDataFrame(docs, "doc_id long, text string"), block=block).collect()
+    check_links(rows, docs, want, 0.98)
+    got = {r.doc_id: (r.class_id, r.links) for r in rows}
+    assert all(got[i] == (0, 49) for i in range(50)) and all(got[900 + k] == (900 + k, 0) for k in range(5))
+    assert {got[i][0] for i in range(100, 300)} == {100}
 
 
 def test_recall_at_the_threshold(spark):
@@ -124,31 +167,83 @@ def test_recall_at_the_threshold(spark):
             b[i] = f"{k}y{i}"
         docs += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
     want = brute(docs, 0.5)
-    got = found_pairs(nearjoin.join(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    linked = {r.doc_id for r in nearjoin.join(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r.links}
     for low in (0.5, 0.6, 0.7, 0.8, 0.9):
         band = {p for p, j in want.items() if low <= j < low + 0.1}
-        assert len(band & set(got)) >= 0.9 * len(band)
+        assert len([p for p in band if set(p) <= linked]) >= 0.9 * len(band)
+    assert len(linked) >= 0.95 * 2 * len(want)
+
+
+def test_prefixes_stop_at_different_lengths(spark):
+    """Near copies that differ in a word meet at the full prefix, others only once it has been shortened; alone, a document goes down to the shortest."""
+    docs = []
+    for k in range(40):
+        a = [f"{k}x{i}" for i in range(200)]
+        for j, changed in enumerate((0, 1)):
+            docs.append((10 * k + j, " ".join([*a[: 200 - changed], *(f"{k}z{i}" for i in range(changed))])))
+        c = [f"{k}c{i}" for i in range(200)]
+        docs += [(10 * k + 2, " ".join(c)), (10 * k + 3, " ".join(w if i % 11 else f"{k}d{i}" for i, w in enumerate(c)))]
+        docs.append((10 * k + 4, " ".join(f"{k}e{i}" for i in range(200))))
+    by = defaultdict(list)
+    for r in nearjoin.join(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        by[r.doc_id % 10].append((r.prefix, r.links))
+    assert set(by[0]) == set(by[1]) == {(8, 1)} and set(by[4]) == {(None, 0)}
+    assert len([1 for _, n in by[2] if n]) >= 38 and len([1 for p, n in by[2] if n and p < 8]) >= 15
+
+
+def test_labels_are_sorted_tries():
+    """Leading bits of a label agree as long as leading values do."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sig = rng.integers(0, 1 << 32, (2, 192), dtype=np.uint32)
+    picks = nearjoin._picks(48, 8, 192)
+    assert len({int(x) for x in picks[:, :4].ravel()}) == 192 and all(len(set(p)) == 8 for p in picks.tolist())
+    for same in range(9):
+        other = sig[:1].copy()
+        other[0, picks[0, same:]] ^= np.uint32(0x55555555)
+        a, b = nearjoin.labels(sig[:1], 48, 8, 4)[0, 0], nearjoin.labels(other, 48, 8, 4)[0, 0]
+        if same >= 4:
+            assert int(a ^ b) >> (5 * (8 - same)) == 0
+        else:
+            assert int(a) >> 20 != int(b) >> 20
 
 
 def test_near_query_against_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
-    want, got = brute(docs, nearjoin.THRESHOLD), found_pairs(QUERIES["op8_near_copies"](spark, "/root/testdata/sf0.01").collect())
-    assert not set(got) - set(want) and len(set(got) & set(want)) >= 0.95 * len(want)
+    check_links(QUERIES["op8_near_copies"](spark, "/root/testdata/sf0.01").collect(), docs, brute(docs, nearjoin.THRESHOLD))
 
 
 def test_near_edges(spark):
     text = "one two three four five six seven"
-    rows = [(1, text, 0), (2, text.upper() + "!", 0), (2, "something else entirely", 0), (None, text, 0), (3, None, 0), (4, "", 0), (5, "...", 0), (6, "one", 0), (7, "one", 0), (8, "one two", 0), (1, text, 0), (9, "w " * 30_000, 0), (10, "w " * 30_001, 0)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, entry int")
-    pairs = found_pairs(nearjoin.join(df).collect())
-    assert {p for p in pairs} == {(1, 2), (6, 7), (9, 10)}
+    rows = [(1, text, 0), (2, "“" + text.upper() + "”!", 0), (2, "something else entirely", 0), (None, text, 0), (3, None, 0), (4, "", 0), (5, "...", 0), (6, "one", 0), (7, "one", 0), (8, "one two", 0), (1, text, 0), (9, "w " * 30_000, 0), (10, "w " * 30_001, 0), (11, " ".join(f"v{i}" for i in range(40_000)), 0), (12, " ".join(f"v{i}" for i in range(40_001)), 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, entry int").selectExpr("*", "1 as h", "2 as row", "3 as labels")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, -1 if r.class_id is None else r.class_id, r.links) for r in nearjoin.join(df).collect())
+    assert got == [(-1, -1, 0), (1, 1, 2), (1, 1, 2), (2, 1, 2), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 0), (6, 6, 1), (7, 6, 1), (8, 8, 0), (9, 9, 1), (10, 9, 1), (11, 11, 1), (12, 11, 1)]
     kept = nearjoin.one_of_each(df)
     assert kept.columns == df.columns
-    ids = sorted((r.doc_id if r.doc_id is not None else -1) for r in kept.collect())
-    assert ids == [-1, 1, 1, 3, 4, 5, 6, 8, 9]
+    left = sorted((-1 if r.doc_id is None else r.doc_id, (r.text or "")[:9]) for r in kept.collect())
+    assert left == [(-1, "one two t"), (1, "one two t"), (2, "something"), (3, ""), (4, ""), (5, "..."), (6, "one"), (8, "one two"), (9, "w w w w w"), (11, "v0 v1 v2 ")]
     assert nearjoin.join(df.limit(0)).collect() == [] and nearjoin.one_of_each(df.limit(0)).collect() == []
 
 
+def test_leaders_across_batches():
+    """Runs may be cut anywhere by batches."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = sorted((rng.randint(0, 12), i) for i in range(60))
+    for size in (1, 2, 7, 60):
+        parts = [rows[i : i + size] for i in range(0, 60, size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in p]), pa.array([e for _, e in p])], names=["key", "entry"]) for p in parts]
+        got = sorted(tuple(r.values()) for b in nearjoin._leaders(iter(batches)) for r in b.to_pylist())
+        first = {}
+        for k, e in rows:
+            first.setdefault(k, e)
+        number = Counter(k for k, _ in rows)
+        assert got == sorted((k, first[k], e) for k, e in rows if number[k] > 1)
+
+
 def test_prefix_length():
     assert nearjoin.prefix_length(0.5, 0.95, 48, 8) == 4
     for s, t, n in ((0.5, 0.9, 10), (0.8, 0.99, 30), (0.3, 0.95, 20)):
