@@ -1,18 +1,26 @@
 """Byte-level BPE by per-prefix dynamic programming.
 
 For each prefix of a pre-token there is exactly one token that ends the BPE
-encoding of that prefix.  A suffix automaton over the vocabulary yields the
-tokens that are suffixes of the prefix, longest first; the one that is
-compatible with the last token of the prefix it leaves over (BPE would leave
-the two side by side) is stored.  Back-pointers from the end give exact ids
-without simulating merges.  The programme runs for many pre-tokens at a time.
+encoding of that prefix.  A suffix automaton of the vocabulary, walked byte by
+byte, holds the longest suffix of the prefix that lies in some token; the
+tokens that are suffixes of the prefix are found from its state along suffix
+links, longest first.  The one that is compatible with the last token of the
+prefix it leaves over (BPE would leave the two side by side) is stored.
+Back-pointers from the end give exact ids without simulating merges.
+
+The programme runs for many pre-tokens at a time.  A long pre-token is cut
+into stretches that run side by side; as a sequence of tokens of which all
+neighbours are compatible is the encoding, only the surroundings of cuts whose
+neighbours are not are run again, wider each time.
 
 Vocabularies are read on the driver from a rank file (base64 token, rank) and
 travel to the workers as arrays in one broadcast; nothing is trained.
 
 Defined results: a null text has null ids; an empty text has an empty list;
-equal texts have equal ids; every other column is kept as it is, and a column
-named like an output (`ids`, `n_tokens`, `roundtrip`) is replaced.
+equal texts, and so repeated rows, have equal ids; an empty table gives an
+empty result; a text of any length is encoded whole, in parts that end where a
+pre-token begins; every other column is kept as it is, and a column named like
+an output (`ids`, `n_tokens`, `roundtrip`) is replaced.
 """
 
 from __future__ import annotations
@@ -29,8 +37,15 @@ from pyspark.sql import types as T
 from loomspark.llm.vec import Memo, lean, pieces, ragged, span_hashes, utf8
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-LONG = 192
-MOST_CACHED = 1 << 21
+#: Bytes of the stretches of a long pre-token, and bytes from which a stretch is run by itself. Both change the time only.
+STRETCH, ALONE = 64, 2048
+#: Bytes that are encoded at a time; longer texts are cut before spaces.
+PART = 1 << 19
+PIECE = 1 << 19
+#: Ids of known pre-tokens that are kept, and slots (2^n) by which they are found.
+MOST_IDS, SLOTS = 1 << 22, 20
+#: Bits of an automaton state; what lies above is the length after a step that went along suffix links.
+STATE_BITS = 22
 
 
 @dataclass
@@ -44,10 +59,14 @@ class Tables:
     right: np.ndarray
     merge_key: np.ndarray
     merge_id: np.ndarray
+    #: The suffix automaton: edges (state << 8 | byte, sorted), suffix links, lengths; the token that a state's longest
+    #: string is, or -1; the longest token among the states its suffix links lead to; for each token the next shorter one.
     edge_key: np.ndarray
     edge_to: np.ndarray
-    fail: np.ndarray
-    longest: np.ndarray
+    link: np.ndarray
+    depth: np.ndarray
+    own: np.ndarray
+    above: np.ndarray
     shorter: np.ndarray
 
 
@@ -92,50 +111,72 @@ def build_tables(ranks: dict[bytes, int]) -> Tables:
         keys.append(int(left[i]) << 20 | int(right[i]))
         merged.append(i)
     order = np.argsort(np.array(keys, np.int64), kind="stable")
-    edges: dict[int, int] = {}
-    at_node, parent, byte = [-1], [0], [0]
-    for i, token in enumerate(tokens):
-        node = 0
-        for b in token:
-            k = node << 8 | b
-            to = edges.get(k)
-            if to is None:
-                to = edges[k] = len(at_node)
-                at_node.append(-1)
-                parent.append(node)
-                byte.append(b)
-            node = to
-        if usable[i]:
-            at_node[node] = i
-    depth = [0] * len(at_node)
-    for v in range(1, len(at_node)):
-        depth[v] = depth[parent[v]] + 1
-    fail, longest, shorter = [0] * len(at_node), [-1] * len(at_node), np.full(n, -1, np.int64)
-    for v in sorted(range(1, len(at_node)), key=depth.__getitem__):
-        f = fail[parent[v]]
-        while True:
-            to = edges.get(f << 8 | byte[v])
-            if to is not None and to != v:
-                f = to
-                break
-            if not f:
-                f = 0
-                break
-            f = fail[f]
-        fail[v] = f if depth[v] > 1 else 0
-        if at_node[v] >= 0:
-            longest[v] = at_node[v]
-            shorter[at_node[v]] = longest[fail[v]]
-        else:
-            longest[v] = longest[fail[v]]
+    edges, link, depth, state_of = suffix_automaton([t for i, t in enumerate(tokens)])
+    own = np.full(len(link), -1, np.int64)
+    for i in np.flatnonzero(usable).tolist():
+        # no other token ends wherever this one does, so it is the longest string of its state
+        own[state_of[i]] = i
+    above = np.full(len(link), -1, np.int64)
+    for v in sorted(range(1, len(link)), key=depth.__getitem__):
+        u = link[v]
+        above[v] = own[u] if own[u] >= 0 else above[u]
     lengths = np.array([len(t) for t in tokens], np.int64)
-    edge = np.array(sorted(edges), np.int64)
+    keys_of = [v << 8 | c for v, out in enumerate(edges) for c in out]
+    to = [x for out in edges for x in out.values()]
+    if len(link) >= 1 << STATE_BITS or max(depth) >= 1 << (31 - STATE_BITS):
+        raise ValueError("the vocabulary is too large")
+    sort = np.argsort(np.array(keys_of, np.int64))
     return Tables(
         np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths, lengths, left, right, np.array(keys, np.int64)[order], np.array(merged, np.int64)[order],
-        edge, np.array([edges[k] for k in edge.tolist()], np.int64), np.array(fail, np.int64), np.array(longest, np.int64), shorter,
+        np.array(keys_of, np.int32)[sort], np.array(to, np.int32)[sort], np.array(link, np.int32), np.array(depth, np.int32), own.astype(np.int32), above.astype(np.int32), above[state_of],
     )
 
 
+def suffix_automaton(strings: list[bytes]) -> tuple[list[dict[int, int]], list[int], list[int], list[int]]:
+    """Edges, suffix links and lengths of the states of the automaton of all substrings, and the state of each string."""
+    edges: list[dict[int, int]] = [{}]
+    link, depth, ends = [-1], [0], []
+
+    def clone(p: int, c: int, q: int) -> int:
+        k = len(edges)
+        edges.append(dict(edges[q]))
+        link.append(link[q])
+        depth.append(depth[p] + 1)
+        link[q] = k
+        while p >= 0 and edges[p].get(c) == q:
+            edges[p][c] = k
+            p = link[p]
+        return k
+
+    for string in strings:
+        last = 0
+        for c in string:
+            q = edges[last].get(c)
+            if q is not None:
+                last = q if depth[q] == depth[last] + 1 else clone(last, c, q)
+                continue
+            new = len(edges)
+            edges.append({})
+            depth.append(depth[last] + 1)
+            link.append(0)
+            p = last
+            while p >= 0 and c not in edges[p]:
+                edges[p][c] = new
+                p = link[p]
+            if p >= 0:
+                q = edges[p][c]
+                link[new] = q if depth[q] == depth[p] + 1 else clone(p, c, q)
+            last = new
+        ends.append(last)
+    # a state may have been split off after a string ended in it
+    for i, string in enumerate(strings):
+        v = 0
+        for c in string:
+            v = edges[v][c]
+        ends[i] = v
+    return edges, link, depth, ends
+
+
 def _char_classes() -> np.ndarray:
     """0 other, 1 letter, 2 number, 3 white space, for every code point."""
     import regex
@@ -170,17 +211,16 @@ class Encoder:
     def __init__(self, tables: Tables):
         self.t = tables
         self.classes = _char_classes()
-        self.compatible = Memo(self._compatible, 21)
+        self.compatible = Memo(self._compatible, 20)
         self.step = Memo(self._step, 20)
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.empty(0, np.uint64)
-        self.slot = np.empty(0, np.int64)
+        self.known = np.zeros(1 << SLOTS, np.uint64)
+        self.at = np.zeros(1 << SLOTS, np.int32)
+        self.count = np.full(1 << SLOTS, -1, np.int32)
         self.ids = np.empty(1 << 16, np.int32)
         self.n_ids = 0
-        self.at = np.empty(0, np.int64)
-        self.count = np.empty(0, np.int64)
 
     # --- pre-tokens -------------------------------------------------------
 
@@ -225,18 +265,22 @@ class Encoder:
     # --- the dynamic programme -------------------------------------------
 
     def _step(self, key: np.ndarray) -> np.ndarray:
-        """State after a byte, for keys state << 8 | byte."""
+        """For keys state << 8 | byte the state after the byte, and above it the matched length if suffix links were followed, else 0."""
         t = self.t
         state, byte = key >> 8, key & 255
         out = np.zeros(len(key), np.int64)
+        linked = np.zeros(len(key), bool)
         todo = np.arange(len(key))
         while len(todo):
             k = state[todo] << 8 | byte[todo]
             i = np.minimum(np.searchsorted(t.edge_key, k), len(t.edge_key) - 1)
             hit = t.edge_key[i] == k
-            out[todo[hit]] = t.edge_to[i[hit]]
+            found = todo[hit]
+            # every byte is a token, so the first state has all edges
+            out[found] = t.edge_to[i[hit]] | np.where(linked[found], t.depth[state[found]] + 1, 0) << STATE_BITS
             todo = todo[~hit & (state[todo] != 0)]
-            state[todo] = t.fail[state[todo]]
+            state[todo] = t.link[state[todo]]
+            linked[todo] = True
         return out
 
     def _compatible(self, key: np.ndarray) -> np.ndarray:
@@ -273,12 +317,16 @@ class Encoder:
         start, length = start[order], length[order]
         width, n = int(length[0]), len(start)
         last = np.full((width + 1, n), -1, np.int32)
-        state = np.zeros(n, np.int64)
+        state, matched = np.zeros(n, np.int64), np.zeros(n, np.int64)
         alive = np.searchsorted(-length, -np.arange(width), "left")
         for j in range(width):
             m = int(alive[j])
-            state[:m] = self.step(state[:m] << 8 | flat[start[:m] + j])
-            who, token = np.arange(m), t.longest[state[:m]]
+            to = self.step(state[:m] << 8 | flat[start[:m] + j]).astype(np.int64)
+            length_now = to >> STATE_BITS
+            state[:m] = v = to & ((1 << STATE_BITS) - 1)
+            matched[:m] = np.where(length_now > 0, length_now, matched[:m] + 1)
+            own = t.own[v]
+            who, token = np.arange(m), np.where((own >= 0) & (matched[:m] == t.depth[v]), own, t.above[v]).astype(np.int64)
             while len(who):
                 before = j + 1 - t.length[token]
                 ok = before == 0
@@ -316,17 +364,43 @@ class Encoder:
             out[at_sorted[w] + count[w] - 1 - s] = token
         return out, number
 
-    def _single(self, word: bytes) -> list[int]:
-        """The same programme for one long pre-token."""
-        t, last, state = self.t, [], 0
-        edge: dict[int, int] = self.__dict__.setdefault("_edges", dict(zip(t.edge_key.tolist(), t.edge_to.tolist())))
-        fail, longest, shorter, length = (self.__dict__.setdefault("_" + k, getattr(t, k).tolist()) for k in ("fail", "longest", "shorter", "length"))
-        seen: dict[int, int] = {}
+    def _fits(self, a: int, b: int) -> bool:
+        """`_compatible` for one pair, with plain integers."""
+        left, right, merge = self._plain[4:7]
+        limit = 1 << 40
+        while True:
+            if merge.get(a << 20 | b, limit) < limit:
+                return False
+            # undo the later of the two merges that made a and b; a whole side undone means no merge crosses
+            if a > b:
+                if right[a] != a:
+                    limit, a = a, right[a]
+                elif left[b] != b:
+                    limit, b = b + 1, left[b]
+                else:
+                    return True
+            elif left[b] != b:
+                limit, b = b + 1, left[b]
+            elif right[a] != a:
+                limit, a = a, right[a]
+            else:
+                return True
+
+    def _alone(self, word: bytes) -> list[int]:
+        """The programme for one long stretch, with plain integers."""
+        t = self.t
+        if not hasattr(self, "_plain"):
+            merge = dict(zip(t.merge_key.tolist(), t.merge_id.tolist()))
+            edge = dict(zip(t.edge_key.tolist(), t.edge_to.tolist()))
+            self._plain = (edge, t.link.tolist(), t.depth.tolist(), (t.own.tolist(), t.above.tolist(), t.shorter.tolist(), t.length.tolist()), t.left.tolist(), t.right.tolist(), merge)
+        edge, link, depth, (own, above, shorter, length) = self._plain[:4]
+        last, v, matched, seen = [], 0, 0, {}
         for j, byte in enumerate(word):
-            while (to := edge.get(state << 8 | byte)) is None and state:
-                state = fail[state]
-            state = to or 0
-            token = longest[state]
+            while (to := edge.get(v << 8 | byte)) is None:
+                v = link[v]
+                matched = depth[v]
+            v, matched = to, matched + 1
+            token = own[v] if own[v] >= 0 and matched == depth[v] else above[v]
             while token >= 0:
                 before = j + 1 - length[token]
                 if not before:
@@ -334,93 +408,147 @@ class Encoder:
                 previous = last[before - 1]
                 if previous >= 0:
                     k = previous << 20 | token
-                    if k not in seen:
-                        seen[k] = int(self._compatible(np.array([k], np.int64))[0])
-                    if seen[k]:
+                    fits = seen.get(k)
+                    if fits is None:
+                        fits = seen[k] = self._fits(previous, token)
+                    if fits:
                         break
                 token = shorter[token]
             last.append(token)
         out, at = [], len(word)
         while at:
+            if last[at - 1] < 0:
+                raise ValueError("a prefix has no last token; the vocabulary is not a BPE vocabulary")
             out.append(last[at - 1])
             at -= length[out[-1]]
         return out[::-1]
 
+    def _stretches(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of byte stretches, each encoded by itself, one after the other, and their numbers; those of like length run together."""
+        count, out = np.zeros(len(start), np.int64), []
+        for low, high in ((0, 24), (24, STRETCH), (STRETCH, 4 * STRETCH), (4 * STRETCH, ALONE)):
+            i = np.flatnonzero((length > low) & (length <= high))
+            for j in range(0, len(i), 1 << 14):
+                k = i[j : j + (1 << 14)]
+                ids, count[k] = self._programme(data, start[k], length[k])
+                out.append((k, ids))
+        for k in np.flatnonzero(length > ALONE).tolist():
+            ids = np.array(self._alone(data[start[k] : start[k] + length[k]].tobytes()), np.int32)
+            count[k] = len(ids)
+            out.append((np.array([k]), ids))
+        at = np.cumsum(count) - count
+        flat = np.empty(int(count.sum()), np.int32)
+        for k, ids in out:
+            c = count[k]
+            flat[np.repeat(at[k] - (np.cumsum(c) - c), c) + np.arange(len(ids))] = ids
+        return flat, count
+
+    def _words(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, one after the other, and their numbers."""
+        parts = -(-length // STRETCH)
+        word = np.repeat(np.arange(len(start)), parts)
+        nth = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
+        ids, count = self._stretches(data, start[word] + nth * STRETCH, np.minimum(STRETCH, length[word] - nth * STRETCH))
+        if (parts == 1).all():
+            return ids, count
+        word, reach = np.repeat(word, count), 4
+        while True:
+            inside = np.flatnonzero(word[1:] == word[:-1])
+            # neighbours within a stretch fit already; asking again costs a look at the memo
+            bad = inside[self.compatible(ids[inside].astype(np.int64) << 20 | ids[inside + 1]) == 0]
+            if not len(bad):
+                return ids, np.bincount(word, minlength=len(start))
+            size = self.t.length[ids]
+            first = np.searchsorted(word, word[bad])
+            last = np.searchsorted(word, word[bad], "right")
+            low, high = np.maximum(first, bad + 1 - reach), np.minimum(last, bad + 1 + reach)
+            # windows that overlap are one
+            new = np.append(True, low[1:] >= np.maximum.accumulate(high)[:-1])
+            at = np.flatnonzero(new)
+            low, high = low[at], np.maximum.reduceat(high, at)
+            place = np.zeros(len(ids) + 1, np.int64)
+            np.cumsum(size, out=place[1:])
+            begin = place[low] - place[np.searchsorted(word, word[low])] + start[word[low]]
+            again, number = self._stretches(data, begin, place[high] - place[low])
+            cover = np.zeros(len(ids) + 1, np.int64)
+            cover[low] += 1
+            cover[high] -= 1
+            kept = np.flatnonzero(np.cumsum(cover)[:-1] == 0)
+            # kept ids and the new ones of windows, in order of the ids they stand for
+            order = np.argsort(np.concatenate([kept, np.repeat(low, number)]), kind="stable")
+            word = np.concatenate([word[kept], np.repeat(word[low], number)])[order]
+            ids = np.concatenate([ids[kept], again])[order]
+            reach *= 2
+
     # --- columns ----------------------------------------------------------
 
-    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> None:
-        if len(self.known) > MOST_CACHED:
-            self._forget()
-        length = end - start
-        counts = np.empty(len(start), np.int64)
-        parts: list[np.ndarray] = []
-        for low, high in ((0, 24), (24, 64), (64, LONG)):
-            i = np.flatnonzero((length > low) & (length <= high))
-            for j in range(0, len(i), 1 << 16):
-                k = i[j : j + (1 << 16)]
-                ids, number = self._programme(data, start[k], length[k])
-                counts[k] = number
-                parts.append((k, ids))
-        for k in np.flatnonzero(length > LONG).tolist():
-            ids = np.array(self._single(data[start[k] : end[k]].tobytes()), np.int32)
-            counts[k] = len(ids)
-            parts.append((np.array([k]), ids))
-        at = np.empty(len(start), np.int64)
-        total = self.n_ids
-        need = total + int(counts.sum())
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes pre-tokens and keeps them; where each one's ids lie, and their numbers."""
+        ids, count = self._words(data, start, end - start)
+        at = self.n_ids + np.cumsum(count) - count
+        need = self.n_ids + len(ids)
         if need > len(self.ids):
-            grown = np.empty(max(need, 2 * len(self.ids)), np.int32)
-            grown[:total] = self.ids[:total]
+            grown = np.empty(max(need, min(2 * len(self.ids), MOST_IDS)), np.int32)
+            grown[: self.n_ids] = self.ids[: self.n_ids]
             self.ids = grown
-        for k, ids in parts:
-            c = counts[k]
-            at[k] = total + np.cumsum(c) - c
-            self.ids[total : total + len(ids)] = ids
-            total += len(ids)
-        self.n_ids = total
-        slots = len(self.at) + np.arange(len(start))
-        self.at, self.count = np.concatenate([self.at, at]), np.concatenate([self.count, counts])
-        known, slot = np.concatenate([self.known, hashes]), np.concatenate([self.slot, slots])
-        order = np.argsort(known, kind="stable")
-        self.known, self.slot = known[order], slot[order]
-
-    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i = np.searchsorted(self.known, hashes)
-        hit = i < len(self.known)
-        hit[hit] = self.known[i[hit]] == hashes[hit]
-        return i, hit
+        self.ids[self.n_ids : need] = ids
+        self.n_ids = need
+        slot = (hashes >> np.uint64(64 - SLOTS)).astype(np.int64)
+        # of two that share a slot the last one stays
+        self.known[slot], self.at[slot], self.count[slot] = hashes, at, count
+        return at, count
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offsets of each row's own (n + 1 entries)."""
+        if len(data) <= PART:
+            return self._encode(data, off)
+        # a pre-token begins before a space that follows another character; rows longer than a part are cut there
+        row, cuts = np.flatnonzero(np.diff(off) > PART), [off]
+        for a, z in zip(off[row].tolist(), off[row + 1].tolist()):
+            spaces = a + 1 + np.flatnonzero((data[a + 1 : z] == 32) & (data[a : z - 1] > 32) & (data[a : z - 1] < 127))
+            at = a
+            while len(spaces) and z - at > PART:
+                k = int(np.searchsorted(spaces, at + PART, "right")) - 1
+                k = k if k >= 0 and spaces[k] > at else k + 1
+                if k >= len(spaces):
+                    break
+                at = int(spaces[k])
+                cuts.append(np.array([at]))
+        edge = np.sort(np.concatenate(cuts), kind="stable")
+        out, offsets, at, base = [], [np.zeros(1, np.int64)], 0, 0
+        while at < len(edge) - 1:
+            end = max(at + 1, int(np.searchsorted(edge, edge[at] + PART, "right")) - 1)
+            ids, own = self._encode(data[edge[at] : edge[end]], edge[at : end + 1] - edge[at])
+            out.append(ids)
+            offsets.append(own[1:] + base)
+            base += len(ids)
+            at = end
+        # equal edges belong to empty rows and have equal offsets
+        return np.concatenate(out), np.concatenate(offsets)[np.searchsorted(edge, off)]
+
+    def _encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, row = self.pretokens(data, off)
         if not len(start):
             return np.empty(0, np.int32), np.zeros(len(off), np.int64)
+        if self.n_ids > MOST_IDS:
+            self._forget()
         end = np.append(start[1:], len(data))
         code, unique = pd.factorize(span_hashes(data, start, end))
-        where, hit = self._find(unique)
-        if not hit.all():
+        slot = (unique >> np.uint64(64 - SLOTS)).astype(np.int64)
+        at, number = self.at[slot].astype(np.int64), self.count[slot].astype(np.int64)
+        new = np.flatnonzero((self.known[slot] != unique) | (number < 0))
+        if len(new):
             sample = np.empty(len(unique), np.int64)
             sample[code[::-1]] = np.arange(len(code))[::-1]  # the first of each
-            new = np.flatnonzero(~hit)
-            self._learn(data, start[sample[new]], end[sample[new]], unique[new])
-            where, hit = self._find(unique)
-            if not hit.all():  # the cache was emptied: what it held of these must be learnt again
-                new = np.flatnonzero(~hit)
-                self._learn(data, start[sample[new]], end[sample[new]], unique[new])
-                where, _ = self._find(unique)
-        s = self.slot[where][code]
-        count = self.count[s]
-        ids = ragged(self.ids, self.at[s], count)
+            at[new], number[new] = self._learn(data, start[sample[new]], end[sample[new]], unique[new])
+        count = number[code]
+        ids = ragged(self.ids, at[code], count)
         if not np.array_equal(self.decode(ids)[0], data):  # two pre-tokens of one hash
-            ids, count = self._exact(data, start, end)
+            ids, count = self._words(data, start, end - start)
         total = np.zeros(len(start) + 1, np.int64)
         np.cumsum(count, out=total[1:])
         return ids, total[row]
 
-    def _exact(self, data, start, end) -> tuple[np.ndarray, np.ndarray]:
-        each = [self._single(data[a:b].tobytes()) for a, b in zip(start.tolist(), end.tolist())]
-        return np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64)
-
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the ids, and the number of bytes of each."""
         length = self.t.length[ids]
@@ -471,7 +599,7 @@ def encode(df: DataFrame, path: str = DEFAULT_VOCABULARY, text: str = "text", id
     def run(batches):
         e = encoder(key, tables)
         for batch in batches:
-            for b in pieces(batch, text):
+            for b in pieces(batch, text, PIECE):
                 column = b.column(b.schema.get_field_index(text))
                 values, offsets = e.encode(*utf8(column))
                 null = nulls(column)
@@ -518,7 +646,7 @@ def encode_decode(df: DataFrame, path: str = DEFAULT_VOCABULARY, text: str = "te
     def run(batches):
         e = encoder(key, tables)
         for batch in batches:
-            for b in pieces(batch, text):
+            for b in pieces(batch, text, PIECE):
                 column = b.column(b.schema.get_field_index(text))
                 data, off = utf8(column)
                 values, offsets = e.encode(data, off)

@@ -102,7 +102,7 @@ def pack(df: DataFrame, path: str = bpe.DEFAULT_VOCABULARY, window: int = WINDOW
     def place(batches):
         e, fit = bpe.encoder(key, tables), BestFit(window, open_windows)
         for batch in batches:
-            for b in pieces(batch, "text"):
+            for b in pieces(batch, "text", bpe.PIECE):
                 values, offsets = e.encode(*utf8(b.column(1)))
                 offsets, done = offsets.tolist(), []
                 for d, a, z in zip(b.column(0).to_pylist(), offsets, offsets[1:]):

@@ -6,9 +6,11 @@ ids of w bits.  Selector 0 is an escape: the next word is one raw id of up to
 the offsets of their first words are kept, so blocks are coded and decoded
 side by side with array operations, and any block can be read alone.
 
-Defined results: null ids give null output; an empty list gives empty bytes
-and no offsets; ids are read as unsigned; other columns are kept, and one
-named like an output is replaced.
+Defined results: null ids or texts give null output; an empty list or text
+gives empty bytes and no offsets; ids are read as unsigned; repeated rows are
+coded alike and all stay; an empty table gives an empty result; lists and
+texts of any length are coded whole; other columns are kept, and one named
+like an output is replaced.
 """
 
 from __future__ import annotations
@@ -206,7 +208,7 @@ def encode_packed(df: DataFrame, path: str = bpe.DEFAULT_VOCABULARY, text: str =
     def run(batches):
         e = bpe.encoder(key, tables)
         for batch in batches:
-            for b in pieces(batch, text):
+            for b in pieces(batch, text, bpe.PIECE):
                 column = b.column(b.schema.get_field_index(text))
                 values, offsets = e.encode(*utf8(column))
                 yield bpe._replace(b, keep, _packed(values, offsets, bpe.nulls(column)), schema)

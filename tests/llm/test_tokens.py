@@ -68,12 +68,74 @@ def test_another_vocabulary(tmp_path):
 
 
 def test_cache_may_be_emptied(encoder, peer, monkeypatch):
-    monkeypatch.setattr(bpe, "MOST_CACHED", 3)
+    monkeypatch.setattr(bpe, "MOST_IDS", 3)
     texts = ["one two three", "four five six one", "one two seven"]
     for t in texts * 2:
         assert encoded(encoder, [t]) == [peer.encode_ordinary(t)]
 
 
+def long_runs():
+    import random
+
+    rng = random.Random(1)
+    common = lambda n: "".join(chr(0x4E00 + int(rng.random() ** 3 * 3000)) for _ in range(n))
+    return ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(8000)), common(3400), "，".join(common(rng.randint(1, 400)) for _ in range(60)), "".join(chr(rng.randint(0xE01, 0xE2E)) for _ in range(8000)), "".join(rng.choice("abcdeéß") for _ in range(20_000)), "a" * 20_000, "hah" * 5000, "the" * 5000, "-" * 5001 + "=" * 999, " " * 9001 + "x"]
+
+
+def test_long_runs_without_a_break(encoder, peer):
+    """Runs of 10 kB and more, which are cut into stretches: the ids are those of merging the whole run."""
+    texts = long_runs()
+    assert encoded(encoder, texts) == [peer.encode_ordinary(t) for t in texts]
+    assert [encoded(encoder, [t])[0] for t in texts] == encoded(encoder, texts)
+
+
+def test_long_runs_are_not_slow(encoder):
+    """Ideographs without a break at a fifth of the rate of spaced text or better, both met for the first time."""
+    import random
+    import time
+
+    rng = random.Random(2)
+    took = []
+    spaced = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(60_000))
+    for text in (spaced, "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(100_000))):
+        e = bpe.Encoder(encoder.t)
+        t = time.time()
+        encoded(e, [text])
+        took.append((time.time() - t) / len(text.encode()))
+    assert took[1] < 5 * took[0]
+
+
+@pytest.mark.parametrize("part", [1, 50, 4000])
+def test_parts_do_not_show(encoder, peer, monkeypatch, part):
+    monkeypatch.setattr(bpe, "PART", part)
+    texts = [*TEXTS, "", "one  two   three\n four " * 50, "nospace" * 100, ""]
+    assert encoded(encoder, texts) == [peer.encode_ordinary(t) for t in texts]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab", min_size=1, max_size=6), min_size=1, max_size=8), st.text("abc", max_size=30))
+def test_suffix_automaton(strings, text):
+    """After every byte the state stands for the longest suffix read that lies in some string, and each string is the longest of its state."""
+    words = [s.encode() for s in dict.fromkeys(strings)]
+    edges, link, depth, ends = bpe.suffix_automaton(words)
+    assert len(set(ends)) == len(words) and [depth[v] for v in ends] == [len(w) for w in words]
+    parts = {w[i:j] for w in words for i in range(len(w)) for j in range(i, len(w) + 1)} | {b""}
+    v, n, data = 0, 0, text.encode()
+    for k, c in enumerate(data):
+        while c not in edges[v] and v:
+            v = link[v]
+            n = depth[v]
+        if c in edges[v]:
+            v, n = edges[v][c], n + 1
+        assert n == max(j for j in range(k + 2) if data[k + 1 - j : k + 1] in parts)
+        seen = [w for w, e in zip(words, ends) if e == v and len(w) == n]
+        u = link[v] if v else -1
+        while u >= 0:
+            seen += [w for w, e in zip(words, ends) if e == u]
+            u = link[u]
+        assert sorted(seen) == sorted(w for w in words if data[: k + 1].endswith(w))
+
+
 def test_hash_collision_is_found(encoder, peer, monkeypatch):
     fresh = bpe.Encoder(encoder.t)
     monkeypatch.setattr(bpe, "span_hashes", lambda d, a, b: np.zeros(len(a), np.uint64))
@@ -89,6 +151,9 @@ def test_columns(spark):
     both = bpe.encode_decode(df).collect()
     assert [r.roundtrip for r in both] == [True, None, True, True]
     assert bpe.encode_decode(df.limit(0)).collect() == [] and bpe.encode(df.limit(0)).collect() == []
+    packed = simple8b.encode_packed(df.selectExpr("*", "1 as packed", "2 as block_offsets")).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.ids) for r in packed if r.doc_id != 2) == [(1, 2, 7), (1, 2, 7), (3, 0, 9)]
+    assert [(r.packed, r.block_offsets, r.n_tokens) for r in packed if r.doc_id == 2] == [(None, None, None)] and simple8b.encode_packed(df.limit(0)).collect() == []
     with pytest.raises(Exception, match="outside the vocabulary"):
         bpe.decode(spark.createDataFrame([([99999999],)], "ids array<int>")).collect()
 
