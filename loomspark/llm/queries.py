@@ -67,12 +67,12 @@ def op9_capture_index_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of every document with the verdict of each policy."""
-    return quality.judge(quality.ledger(_table(spark, sf_dir, "documents")))
+    return quality.judge(quality.ledger_of(_table(spark, sf_dir, "documents"), sf_dir))
 
 
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each rule of each policy rejects alone and with others."""
-    return quality.ablation(quality.ledger(_table(spark, sf_dir, "documents")))
+    """What each rule of each policy rejects alone and with others, from the bits of the stored ledger."""
+    return quality.ablation(quality.ledger_of(_table(spark, sf_dir, "documents"), sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

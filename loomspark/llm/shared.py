@@ -40,16 +40,33 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear() -> None:
-    """Removes every table written so far. Results that still read them must have been written first."""
-    while _WRITTEN:
+def mark() -> int:
+    """Stands for the tables written so far."""
+    return len(_WRITTEN)
+
+
+def holds(df: DataFrame) -> bool:
+    """Whether the tables that df was read from, of those written here, are still there."""
+    paths = {p.rsplit("/", 1)[-1] for _, p in _WRITTEN}
+    return all(f.rsplit("/", 2)[-2] in paths for f in df.inputFiles())
+
+
+def clear(since: int = 0, but: DataFrame | None = None) -> None:
+    """Removes the tables written since a mark, but for those that a DataFrame reads. Other results that read them must have been written first."""
+    stay = {f.rsplit("/", 2)[-2] for f in but.inputFiles()} if but is not None else set()
+    keep = []
+    while len(_WRITTEN) > since:
         spark, path = _WRITTEN.pop()
+        if path.rsplit("/", 1)[-1] in stay:
+            keep.append((spark, path))
+            continue
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the session has ended
             return
+    _WRITTEN.extend(reversed(keep))
 
 
 atexit.register(clear)
