@@ -14,7 +14,7 @@ from loomspark.llm import exact, langid, nearjoin, packing, quality, shared
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail a rule of the policy, none of which limits their length."""
-    return quality.keep(docs, quality.ANY_LENGTH)
+    return quality.keep(docs, quality.POLICIES["v3"])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; what a stage has written goes once the next one's documents are stored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
+        since = shared.mark() - (k > 0)
         docs = shared.store(stage(spark, docs, sf_dir), f"stage-{k + 1}")
+        shared.clear(since, but=docs)
     return docs
