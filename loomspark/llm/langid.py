@@ -2,17 +2,22 @@
 
 A text is the vector of its hashed byte n-grams (1 + log tf, times idf, length
 1), over the whole lower-cased text.  Each language has several centroids,
-clustered from a bounded sample of labelled documents (`sample` rows a
-language, those of the smallest hash, so it does not depend on order); idf
-comes from all documents.  A document gets the language of the centroid with
-the highest cosine and is rejected when it lies further from it than texts of
-that length and language do in the sample.
+clustered from a bounded sample of labelled texts: at most `sample` different
+texts a language, those of the smallest hash, so it depends neither on order
+nor on how often a text is repeated; texts of over SAMPLE_BYTES, and what goes
+beyond SAMPLE_BYTES a language, are not sampled, and of more than LABELS
+labels the most frequent are taught.  Centroids come from the longer three
+quarters of the sample, as the shortest texts say little.  idf comes from all
+documents.  A document gets the language of the centroid with the highest
+cosine and is rejected when it lies further from it than texts of that length
+and language do in the sample.
 
 Defined results: null, empty and letterless texts have language `und`,
 similarity 0, and are rejected; ties go to the language that sorts first; rows
 with a null or empty label are classified but teach nothing; with no labelled
-text at all everything is `und` and rejected; an empty table gives an empty
-result.  Other columns are kept; those named like an output are replaced.
+text at all everything is `und` and rejected; texts of any length are
+classified whole; repeated rows get equal results; an empty table gives an
+empty result.  Other columns are kept; those named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ DIMS = 4096
 ORDERS = (2, 3, 4)
 SAMPLE = 300
 CENTROIDS = 4
+#: Bounds of the sample: bytes of its texts a language, and number of languages.
+SAMPLE_BYTES, LABELS = 4 << 20, 256
 #: Share of sample texts of a length class, at the far end, beyond which the limit is drawn, and how far beyond.
 FAR, SLACK = 0.02, 0.6
 PIECE = 1 << 19
@@ -167,7 +174,7 @@ def document_frequencies(df: DataFrame, text: str = "text") -> tuple[int, np.nda
                 n += b.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIMS, dtype=np.int32)), pa.array(np.append(n, total))], names=["dim", "n"])
 
-    rows = df.select(F.lower(text).alias("t")).mapInArrow(lean(run), "dim int, n bigint").groupBy("dim").agg(F.sum("n").alias("n")).collect()
+    rows = df.select(F.lower(F.col(f"`{text}`")).alias("t")).mapInArrow(lean(run), "dim int, n bigint").groupBy("dim").agg(F.sum("n").alias("n")).collect()
     got = {r["dim"]: r["n"] for r in rows}
     return got.get(-1, 0), np.array([got.get(i, 0) for i in range(DIMS)], np.int64)
 
@@ -176,15 +183,21 @@ def train(df: DataFrame, label: str = "lang", text: str = "text", sample: int =
     """idf over all of df, centroids from at most `sample` labelled rows a language."""
     n, frequency = document_frequencies(df, text)
     idf = (np.log((1 + n) / (1 + frequency)) + 0.05).astype(np.float32)
-    labelled = df.where(F.col(label).isNotNull() & (F.trim(label) != "") & (F.length(F.trim(text)) > 0)).select(F.col(label).cast("string").alias("label"), F.lower(text).alias("t"), F.xxhash64(text).alias("h"))
-    # a share of each label that holds the sample several times over is all that is ranked
-    sizes = labelled.groupBy("label").count().collect()
+    column = F.col(f"`{text}`")
+    labelled = df.where(F.col(f"`{label}`").isNotNull() & (F.trim(f"`{label}`") != "") & (F.length(F.trim(column)) > 0)).select(F.col(f"`{label}`").cast("string").alias("label"), F.xxhash64(column).alias("h"), F.octet_length(column).alias("size"), F.lower(column).alias("t"))
+    labelled = labelled.where(F.col("size") <= SAMPLE_BYTES)
+    # counted by sketches that combine on the map side; a share of each label's texts that holds the sample several times over is all that is ranked
+    sizes = labelled.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "label").limit(LABELS).collect()
     if not sizes:
         return fit([], [], idf, centroids)
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["label"], min(1.0, 8.0 * sample / r["count"]))))
-    labelled = labelled.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("label")] * (1 << 30))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "t"))
-    rows = labelled.withColumn("r", rank).where(F.col("r") <= sample).orderBy("label", "r").collect()
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["label"], min(1.0, 8.0 * sample / max(1, r["n"])))))
+    some = labelled.where(F.pmod("h", F.lit(1 << 30)) < F.coalesce(share[F.col("label")], F.lit(0.0)) * (1 << 30))
+    # copies go before ranking, on the map side first; no text is shuffled until the sample is known
+    each = some.groupBy("label", "h").agg(F.max("size").alias("size"))
+    by = Window.partitionBy("label").orderBy("h")
+    chosen = each.withColumn("r", F.row_number().over(by)).where(F.col("r") <= sample).withColumn("bytes", F.sum("size").over(by)).where(F.col("bytes") <= SAMPLE_BYTES).select("label", "h", "r")
+    # at most `sample` rows a language, so sending them everywhere is bounded
+    rows = some.select("label", "h", "t").join(F.broadcast(chosen), ["label", "h"]).groupBy("label", "r").agg(F.min("t").alias("t")).orderBy("label", "r").collect()
     return fit([r["t"] for r in rows], [r["label"] for r in rows], idf, centroids)
 
 
