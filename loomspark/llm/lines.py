@@ -5,13 +5,16 @@ occurs on; sketches of one line merge by aggregation, on the map side first.
 Lines whose estimate is within the sketch's error of the threshold get an
 exact distinct count.  Lines on at least `sites` sites go from every document.
 
-Lines are known by 128 bits of hash.  Documents are joined with the places of
-their own boilerplate lines only, never with texts.
+Lines are known by 128 bits of hash.  Where the boilerplate lines are few
+(IN_PLACE, measured) every document drops its own where it lies and no text is
+shuffled; beyond that documents are joined with the places of their lines.
+Both give the same rows.
 
 Defined results: blank lines are never boilerplate; a null site counts as one
 site; a null text stays null; a document that loses all its lines keeps an
-empty text; repeated rows and repeated lines are treated alike; an empty table
-gives an empty result. Other columns are kept, and `removed_lines` is added.
+empty text; repeated rows and repeated lines are treated alike; texts of any
+length are treated whole, lines of any length too; an empty table gives an
+empty result. Other columns are kept, and `removed_lines` is added.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from loomspark.llm import shared
 SITES = 10
 LG_K = 12
 SALT = 0x5DEECE66D
+#: Boilerplate lines up to which their hashes travel with the plan (16 bytes a line).
+IN_PLACE = 50_000
 
 
 def _hashes(line: Column) -> tuple[Column, Column]:
@@ -52,12 +57,27 @@ def boilerplate(df: DataFrame, sites: int = SITES, text: str = "text", site: str
     return shared.store(likely.where(F.col("estimate") > sites + margin).select("h1", "h2").unionByName(exact.select("h1", "h2")), "boilerplate")
 
 
-def remove(df: DataFrame, sites: int = SITES, text: str = "text", site: str = "source", doc_id: str = "doc_id") -> DataFrame:
+def remove(df: DataFrame, sites: int = SITES, text: str = "text", site: str = "source", doc_id: str = "doc_id", in_place: int = IN_PLACE) -> DataFrame:
     """df without its boilerplate lines, and how many each document lost."""
     names = [c for c in df.columns if c != "removed_lines"]
+    gone = boilerplate(df, sites, text, site)
+    number = gone.count()
+    if number <= in_place:
+        known = gone.collect()
+        first, second = [r.h1 for r in known], [r.h2 for r in known]
+
+        def stays(line: Column) -> Column:
+            bare = F.trim(line)
+            h1, h2 = _hashes(bare)
+            return (bare == "") | ~(h1.isin(first) & h2.isin(second))
+
+        lines = F.split(F.col(f"row.`{text}`"), "\n")
+        cut = df.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")).withColumn("kept", F.filter(lines, stays) if number else lines).withColumn("lost", F.when(F.col(f"row.`{text}`").isNull(), 0).otherwise(F.size(lines) - F.size("kept")))
+        new = F.when(F.col("lost") == 0, F.col(f"row.`{text}`")).otherwise(F.array_join("kept", "\n"))
+        return cut.select(*(new.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in names), F.col("lost").alias("removed_lines"))
     # what goes from a text depends on the text alone, so rows are matched by it and their id
     key = [F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(1 << 63))).alias("k0"), F.xxhash64(F.col(f"`{text}`")).alias("k1"), F.hash(F.col(f"`{text}`")).alias("k2")]
-    found = _lines(df, text, *key).join(boilerplate(df, sites, text, site), ["h1", "h2"], "left_semi").groupBy("k0", "k1", "k2").agg(F.collect_set("pos").alias("gone"))
+    found = _lines(df, text, *key).join(gone, ["h1", "h2"], "left_semi").groupBy("k0", "k1", "k2").agg(F.collect_set("pos").alias("gone"))
     docs = df.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), *key)
     kept = F.array_join(F.filter(F.split(F.col(f"row.{text}"), "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
     new = F.when(F.col("gone").isNull(), F.col(f"row.{text}")).otherwise(kept)
