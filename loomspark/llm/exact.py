@@ -18,8 +18,8 @@ other columns).
 
 Defined results: null texts are equal to each other and not to empty ones;
 texts that differ in case, spaces or normal form differ; of rows repeated
-whole one stays; an empty table stays empty. All columns of the input are
-kept, whatever their names.
+whole one stays; an empty table stays empty; texts of any length are compared
+whole. All columns of the input are kept, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomspark.llm import shared
 from loomspark.llm.vec import lean, utf8
@@ -40,6 +41,8 @@ WIDER = 4
 TARGET = 64 << 20
 #: Bytes up to which a table of split prefixes is broadcast; a larger one is joined by shuffle.
 BROADCAST = 16 << 20
+#: Bytes of text a partition of the one shuffle should hold.
+PARTITION = 32 << 20
 
 
 def _digits(level: int, first: int) -> int:
@@ -147,6 +150,12 @@ def _local(batches):
         yield settle(carry)
 
 
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _has_map(kind.elementType)
+
+
 def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", target: int = TARGET, first: int = FIRST) -> DataFrame:
     """The rows of df without those whose text equals that of another, of which one stays."""
     names = df.columns
@@ -158,13 +167,18 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", target: int
     at_id = fields[names.index(doc_id)] if doc_id in names else None
     docs = df.select(F.struct(*(F.col(f"`{c}`").alias(f) for c, f in zip(names, fields))).alias("row"))
     order_id = F.col(f"row.{at_id}").cast("long") if at_id else F.lit(None).cast("long")
-    order = F.struct(order_id.isNull(), order_id, F.xxhash64("row"))
+    # maps have no hash of their own; as text they do
+    tie = F.xxhash64(*(F.to_json(F.struct(F.col(f"row.{f}"))) if _has_map(df.schema[k].dataType) else F.col(f"row.{f}") for k, f in enumerate(fields)))
+    order = F.struct(order_id.isNull(), order_id, tie)
 
     full = docs.where(F.col("row.text_").isNotNull())
     hot = _split_groups(full, target, first)
     placed = _place(full, hot, first)
-    flat = placed.where(~F.col("ended")).select("row", order_id.alias("order_id"), F.xxhash64("row").alias("tie"), "prefix")
-    kept = flat.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(lean(_local), docs.schema)
+    flat = placed.where(~F.col("ended")).select("row", order_id.alias("order_id"), tie.alias("tie"), "prefix")
+    size = full.agg(F.sum(F.octet_length("row.text_"))).first()[0] or 0
+    parts = size // PARTITION
+    spread = flat.repartition(parts, "prefix") if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else flat.repartition("prefix")
+    kept = spread.sortWithinPartitions("prefix").mapInArrow(lean(_local), docs.schema)
     if hot:
         kept = kept.unionByName(placed.where("ended").groupBy("prefix").agg(F.min_by("row", order).alias("row")).select("row"))
     null = docs.where(F.col("row.text_").isNull()).select(F.min_by("row", order).alias("row")).where(F.col("row").isNotNull())
