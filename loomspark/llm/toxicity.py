@@ -14,8 +14,10 @@ The decision threshold is the best one on a held-out fifth of the sample.
 Defined results: null and wordless texts have score 0 and are not toxic;
 repeated rows get equal scores; rows with a null doc_id are scored; labels
 that are null, repeated or without a document teach nothing (of repeated ones
-one counts); without labels of both classes every score is 0; an empty table
-gives an empty result. Only doc_id is kept of the input.
+one counts); without labels of both classes every score is 0; texts of any
+length are scored whole, but those of over SAMPLE_BYTES are not in the sample;
+an empty table gives an empty result. Only doc_id is kept of the input, so no
+name can clash.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from loomspark.llm import nearjoin
 from loomspark.llm.vec import lean, pieces, span_hashes, utf8, words
 
 SAMPLE = 3000
+SAMPLE_BYTES = 1 << 20
+#: Features of the sample that are weighed, those whose presence differs most between the classes.
 CANDIDATES = 6000
 BEGINNINGS = (4, 5, 6, 7)
 #: Weight of the penalty on counterfactual score changes, and of the absolute weights.
@@ -40,7 +44,7 @@ ROUNDS = 300
 #: How many times as frequent a feature must be in toxic documents.
 LIFT = 3.0
 #: Similarity from which a labelled text counts as a copy of another.
-NEAR = 0.5
+NEAR = 0.3
 #: Sentences of the sample that a mention is put into.
 MENTIONS = 4000
 
@@ -284,7 +288,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
     rank = F.row_number().over(Window.partitionBy("toxic").orderBy("h", "doc_id"))
     chosen = known.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "toxic", "rank")
     # the chosen labels number at most twice `sample`, so sending them everywhere is bounded
-    found = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = docs.where(F.octet_length(F.col(text)) <= SAMPLE_BYTES).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = found.groupBy("doc_id", "toxic", "rank").agg(F.min("text").alias("text")).orderBy("toxic", "rank").collect()
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows], **options)
 

@@ -6,14 +6,18 @@ the place of the record in its run.  Index entries are sorted where they lie,
 which gives one run per partition; runs are cut at common split keys, and each
 range of keys is put together by a k-way merge with a loser tree.  The result
 is in global order: by url key, then timestamp, then id, and every capture
-knows its place in the history of its url and in the whole index.
+knows its place in the history of its url and in the whole index.  A range
+holds about `entries_per_range` entries, which bounds what a task keeps; the
+shuffle hands a task the pieces of its range run by run, which is the sort by
+run that stands in for opening the runs' files.
 
 Payloads never move: what is sorted, shuffled and merged are index entries.
 
 Defined results: a null or empty url has the key '-' and sorts first; a null
 timestamp is written as '-' and comes first in its history; a null payload has
 length 0 and the digest of nothing; repeated rows are captures of their own;
-an empty table gives an empty index. Columns beyond those named are not read.
+payloads of any length are indexed whole; an empty table gives an empty index.
+Columns beyond those named are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from loomspark.llm.vec import lean
 
 #: Index entries a range of keys should hold.
 RANGE = 200_000
+#: Ranges up to which the table of what came before each is broadcast.
+BROADCAST = 100_000
 INDEX = "url_key string, timestamp string, id bigint, url string, digest string, record_offset bigint, record_length bigint, run int"
 
 
@@ -53,7 +59,7 @@ def surt(url: Column) -> Column:
 
 
 def header(url: str | None, timestamp: str | None, length: int) -> bytes:
-    """Header block of a response record of WARC 1.1; a timestamp has 14 digits."""
+    """Header block of a resource record of WARC 1.1; a timestamp has 14 digits."""
     t = timestamp if timestamp and timestamp != "-" else "19700101000000"
     date = f"{t[:4]}-{t[4:6]}-{t[6:8]}T{t[8:10]}:{t[10:12]}:{t[12:14]}Z"
     return f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: {url or ''}\r\nWARC-Date: {date}\r\nContent-Type: text/html\r\nContent-Length: {length}\r\n\r\n".encode()
@@ -199,7 +205,7 @@ def merge_runs(runs: DataFrame, entries_per_range: int = RANGE) -> DataFrame:
     spark = runs.sparkSession
     rows = [(k, b, *carried.get(k, (None, 0))) for k, b in before]
     offsets = spark.createDataFrame(rows, "range int, base bigint, open_key string, open_count bigint")
-    out = merged.join(F.broadcast(offsets), "range")
+    out = merged.join(F.broadcast(offsets) if len(rows) <= BROADCAST else offsets.hint("merge"), "range")
     capture = F.col("nth") + F.when(F.col("url_key") == F.col("open_key"), F.col("open_count")).otherwise(0)
     return out.select("url_key", "timestamp", "id", "url", "digest", "record_offset", "record_length", "run", capture.alias("capture"), (F.col("base") + F.col("place")).alias("position"))
 

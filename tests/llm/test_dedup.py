@@ -15,6 +15,10 @@ from loomspark.llm.queries import ORACLE_SQL, QUERIES
 SF = "/root/testdata/sf0.001"
 
 
+def test_lines_by_join_equal_sql(spark, compare):
+    compare(lines.remove(spark.read.parquet(f"{SF}/documents.parquet"), in_place=0), ORACLE_SQL["op4_line_dedup"])
+
+
 @pytest.mark.parametrize("name", ["op4_line_dedup", "op6_exact_dedup", "op9_capture_index"])
 def test_equals_sql(spark, compare, name):
     compare(QUERIES[name](spark, SF), ORACLE_SQL[name])
@@ -33,6 +37,10 @@ def test_exact_edges(spark, target):
     got = sorted((r.doc_id if r.doc_id is not None else -1, len(r.text) if r.text is not None else -1) for r in exact.dedup(df, target=target).collect())
     assert got == [(-1, -1), (1, 1), (2, 0), (5, 2), (6, 1_900), (8, 1_901), (9, 31), (10, 32), (12, 64), (13, 2)]
     assert exact.dedup(df, target=target).columns == df.columns
+    maps = df.selectExpr("*", "map('k', prefix) as m", "array(struct(map(1, text) as n)) as deep", "1 as row", "2 as tie")
+    assert sorted((r.doc_id or -1, r.m["k"]) for r in exact.dedup(maps, target=target).collect())[1:3] == [(1, 1), (2, 3)]
+    long = spark.createDataFrame([(i, "x" * 3_000_000 + str(i // 2)) for i in range(4)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in exact.dedup(long, target=target).collect()) == [0, 2]
     assert exact.dedup(df.limit(0), target=target).collect() == []
 
 
@@ -53,6 +61,9 @@ def test_line_edges(spark):
     rows = [(i, "shared line\n own %d \n\n" % i, "s%d" % i) for i in range(4)] + [(None, " shared line ", None), (7, None, "s"), (8, "", "s"), (9, "same site", "s"), (9, "same site", "s"), (10, "\n".join(["same site"] * 5), "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as removed_lines", "2 as pos", "3 as h1")
     out = lines.remove(df, sites=4).collect()
+    assert sorted(map(repr, out)) == sorted(map(repr, lines.remove(df, sites=4, in_place=0).collect()))
+    long = spark.createDataFrame([(i, "\n".join(["y" * 100_000, f"own {i}"] * 20), f"s{i}") for i in range(4)], "doc_id long, text string, source string")
+    assert {(r.text, r.removed_lines) for r in lines.remove(long, sites=4).collect()} == {("\n".join([f"own {i}"] * 20), 20) for i in range(4)}
     got = {r.doc_id: (r.text, r.removed_lines) for r in out}
     assert len(out) == len(rows) and got[0] == (" own 0 \n\n", 1) and got[None] == ("", 1) and got[7] == (None, 0) and got[8] == ("", 0)
     assert got[9] == ("same site", 0) and got[10][1] == 0 and out[0].pos == 2
