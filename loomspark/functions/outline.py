@@ -7,15 +7,17 @@ groups) is windows and joins.
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+_LOG = logging.getLogger(__name__)
 LIMIT = 500
 ARROW = "→"
 _MARKED = re.compile("【[^】]+】")
 _LABEL = re.compile(r"(?:(?P<bullet>[•*+-])|(?P<label>\d+|[A-Za-zÀ-ÿ]|(?i:[cdilmvx]+))(?:\)|\.))[\t ]+")
-_SENTENCE_END = re.compile(r"(?P<marks>[。！？!?.]+)\s+(?=[•*\-{\[('\"\dA-ZÀ-Ý])".replace(r"\d", "0-9"))
+_SENTENCE_END = re.compile(r"(?P<marks>[。！？!?.]+)\s+(?=[•*\-{\[('\"0-9A-ZÀ-Ý])")
 _CLAUSE_END = re.compile(r"[；：，、,:;]+(?:\s+|\Z)")
 _URL = re.compile(r"https?://\S+")
 _DASHES = re.compile(r":?-{3,}:?")
@@ -364,6 +366,8 @@ def outline_text(text: str | None, title: bool = True, length: Callable[[str], i
     state = _State(length, limit)
     if title:
         first, events = take_title(events)
+        if not first and text:
+            _LOG.warning("a document has no title")
         state.put(0, first)
     for e in events:
         state.take(e)

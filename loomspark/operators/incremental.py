@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspark.functions.outline import outline
+from loomspark.functions.outline import outline, token_length
 from loomspark.operators import chunksets, tree
-from loomspark.sources.store import Store
+from loomspark.sources import scratch
+from loomspark.sources.store import Store, search_tables
 
 UNCHANGED, TOUCHED, APPEND, REINDEX = "unchanged", "touched", "append", "reindex"
 
@@ -44,20 +47,28 @@ def records_after(classified: DataFrame) -> DataFrame:
 _PIECES = T.ArrayType(T.StructType([T.StructField("depth", T.IntegerType()), T.StructField("content", T.StringType())]))
 
 
-@F.pandas_udf(_PIECES)
-def outline_pieces(text: pd.Series, depth: pd.Series, content: pd.Series) -> pd.Series:
-    """Outline of each text; under a heading (depth, content) where there is one, which itself is left out."""
-    out = []
-    for t, d, c in zip(text, depth, content):
-        if c is None or pd.isna(d):
-            pieces = outline(t)
-        else:
-            pieces = outline("#" * max(1, int(d) + 1) + " " + c + "\n" + (t or ""), title=False)[1:]
-        out.append([{"depth": a, "content": b} for a, b in pieces])
-    return pd.Series(out)
+def pieces_by(length: Callable[[str], int] | None = None):
+    """The Arrow function that outlines each text; under a heading (depth, content) where there is one, which itself is left out. `length` gives the tokens of a text."""
+    measure = length or token_length
+
+    @F.pandas_udf(_PIECES)
+    def outlined(text: pd.Series, depth: pd.Series, content: pd.Series) -> pd.Series:
+        out = []
+        for t, d, c in zip(text, depth, content):
+            if c is None or pd.isna(d):
+                pieces = outline(t, length=measure)
+            else:
+                pieces = outline("#" * max(1, int(d) + 1) + " " + c + "\n" + (t or ""), title=False, length=measure)[1:]
+            out.append([{"depth": a, "content": b} for a, b in pieces])
+        return pd.Series(out)
+
+    return outlined
+
 
+outline_pieces = pieces_by()
 
-def new_chunks(classified: DataFrame, chunks: DataFrame) -> DataFrame:
+
+def new_chunks(classified: DataFrame, chunks: DataFrame, length: Callable[[str], int] | None = None) -> DataFrame:
     """Chunks of the appended or rewritten texts, numbered on from those that stay; parents are looked for in the same batch only."""
     work = classified.where(F.col("action").isin(APPEND, REINDEX)).select("file_path", "action", "new_text")
     old = chunks.join(work.where(F.col("action") == APPEND).select("file_path"), "file_path", "left_semi")
@@ -65,10 +76,11 @@ def new_chunks(classified: DataFrame, chunks: DataFrame) -> DataFrame:
     state = old.groupBy("file_path").agg(F.max("local_index").alias("last"), F.max("batch_id").alias("last_batch"), heading.alias("heading"))
     given = work.join(state, "file_path", "left")
     # max_by over no heading at all gives null
-    pieces = given.withColumn("pieces", outline_pieces("new_text", F.col("heading.depth"), F.col("heading.content")))
+    pieces = given.withColumn("pieces", (outline_pieces if length is None else pieces_by(length))("new_text", F.col("heading.depth"), F.col("heading.content")))
     rows = pieces.select("file_path", (F.coalesce("last_batch", F.lit(-1)) + 1).alias("batch_id"), F.coalesce("last", F.lit(-1)).alias("last"), F.posexplode("pieces").alias("pos", "piece"))
     flat = rows.select("file_path", (F.col("last") + 1 + F.col("pos")).cast("int").alias("local_index"), F.col("piece.content").alias("content"), F.col("piece.depth").alias("depth"), F.col("batch_id").cast("int").alias("batch_id"))
-    linked = tree.link(flat, ["file_path", "batch_id"])
+    # written first: linking asks which depths there are, and the outline would be made twice
+    linked = tree.link(scratch.table(flat), ["file_path", "batch_id"])
     return linked.select("file_path", "local_index", "content", "depth", F.col("parent").alias("parent_local_index"), "ancestors", "batch_id")
 
 
@@ -79,41 +91,44 @@ def new_chunksets(fresh: DataFrame, existing: DataFrame) -> DataFrame:
     return groups.join(last, "file_path", "left").select("file_path", (F.col("local_index") + F.coalesce("last", F.lit(-1)) + 1).cast("int").alias("local_index"), "chunk_ids", "contents", "to_embed")
 
 
-def update(store: Store, listing: DataFrame, prune: bool = False) -> list[dict]:
-    """Brings the index up to date with the listed files; one result a file. prune also drops files that are not listed."""
-    plan = classify(listing, store.read("files")).cache()
-    try:
-        actions = {r["file_path"]: r["action"] for r in plan.select("file_path", "action").collect()}
-        counts: dict[str, tuple[int, int]] = {}
-        if any(a != UNCHANGED for a in actions.values()):
-            again = plan.where(F.col("action") == REINDEX).select("file_path")
-            kept = lambda t: store.read(t).join(again, "file_path", "left_anti")
-            fresh = new_chunks(plan, kept("chunks")).cache()
-            groups = new_chunksets(fresh, kept("chunksets")).cache()
-            n = {r["file_path"]: r["count"] for r in fresh.groupBy("file_path").count().collect()}
-            m = {r["file_path"]: r["count"] for r in groups.groupBy("file_path").count().collect()}
-            counts = {f: (n.get(f, 0), m.get(f, 0)) for f in actions}
-            changed = plan.where(F.col("action") != UNCHANGED).select("file_path")
-            all_chunks = kept("chunks").join(changed, "file_path", "left_semi").unionByName(fresh)
-            all_groups = kept("chunksets").join(changed, "file_path", "left_semi").unionByName(groups)
-            # vectors of rewritten files go; appended groups have none yet
-            vectors = kept("embeddings").join(changed, "file_path", "left_semi")
-            store.replace(changed, {"files": records_after(plan), "chunks": all_chunks, "chunksets": all_groups, "embeddings": vectors})
-            fresh.unpersist()
-            groups.unpersist()
-        if prune:
-            gone = store.read("files").select("file_path").join(listing.select("file_path"), "file_path", "left_anti")
-            if not gone.isEmpty():
-                store.delete(gone)
-    finally:
-        plan.unpersist()
-    status = {UNCHANGED: "unchanged", TOUCHED: "unchanged", APPEND: "updated", REINDEX: "reindexed"}
-    out = []
-    for f, a in sorted(actions.items()):
-        row = {"file_path": f, "status": status[a]}
-        if a in (APPEND, REINDEX):
-            row |= {"new_chunks": counts[f][0], "new_chunksets": counts[f][1]}
-        out.append(row)
-    return out
+_STATUS = {UNCHANGED: "unchanged", TOUCHED: "unchanged", APPEND: "updated", REINDEX: "reindexed"}
+
 
+def apply(store: Store, listing: DataFrame, prune: bool = False, length: Callable[[str], int] | None = None) -> DataFrame:
+    """Brings the index up to date with the listed files; a row for each: file_path, status, and for changed ones new_chunks and new_chunksets. prune also drops files that are not listed.
 
+    What is to be done, and what comes in, is written before the index
+    changes, so that nothing is worked out again from the changed index.
+    `length` gives the tokens of a text by which pieces are bounded.
+    """
+    plan = classify(listing, store.read("files"))
+    actions = scratch.table(plan.select("file_path", "action"))
+    changed = scratch.table(plan.where(F.col("action") != UNCHANGED))
+    counts = store.spark.createDataFrame([], "file_path string, new_chunks int, new_chunksets int")
+    if not changed.isEmpty():
+        again = changed.where(F.col("action") == REINDEX).select("file_path")
+        kept = {t: store.read(t).join(again, "file_path", "left_anti") for t in ("chunks", "chunksets", "embeddings", "postings", "lengths", "chunk_stems", "chunkset_stems")}
+        fresh = scratch.table(new_chunks(changed, kept["chunks"], length))
+        groups = scratch.table(new_chunksets(fresh, kept["chunksets"]))
+        n = fresh.groupBy("file_path").agg(F.count("*").cast("int").alias("new_chunks"))
+        m = groups.groupBy("file_path").agg(F.count("*").cast("int").alias("new_chunksets"))
+        counts = n.join(m, "file_path", "full")
+        new = {"chunks": fresh, "chunksets": groups, **search_tables(fresh, groups)}
+        # vectors of rewritten files go; appended groups have none yet
+        names = changed.select("file_path")
+        rows = {t: k.join(names, "file_path", "left_semi") for t, k in kept.items()}
+        store.replace(names, {"files": records_after(changed), **{t: r.unionByName(new[t]) if t in new else r for t, r in rows.items()}})
+    if prune:
+        gone = store.read("files").select("file_path").join(listing.select("file_path"), "file_path", "left_anti")
+        if not gone.isEmpty():
+            store.delete(gone)
+    status = F.create_map(*(F.lit(x) for p in _STATUS.items() for x in p))[F.col("action")]
+    work = F.col("action").isin(APPEND, REINDEX)
+    number = lambda c: F.when(work, F.coalesce(c, F.lit(0))).alias(c)
+    return actions.join(counts, "file_path", "left").select("file_path", status.alias("status"), number("new_chunks"), number("new_chunksets"))
+
+
+def update(store: Store, listing: DataFrame, prune: bool = False, length: Callable[[str], int] | None = None) -> list[dict]:
+    """The same as a list, for a listing of few files."""
+    rows = apply(store, listing, prune, length).orderBy("file_path").collect()
+    return [{k: v for k, v in r.asDict().items() if v is not None} for r in rows]

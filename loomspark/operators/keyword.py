@@ -22,8 +22,12 @@ def postings(df: DataFrame, key: list[str], text: str = "contents", stop_words:
     return each.groupBy("term", *key, "dl").agg(F.count("*").alias("tf")).select("term", *key, F.col("tf").cast("int"), "dl")
 
 
-def document_frequencies(index: DataFrame) -> DataFrame:
-    return index.groupBy("term").agg(F.count("*").alias("df"))
+def document_frequencies(df: DataFrame, text: str = "contents", stop_words: list[str] | None = None) -> DataFrame:
+    """(term, df, cf): in how many texts each term is, and how often in all. One aggregation by term, combined on the map side."""
+    words = df.select(T.terms(text, stop_words).alias("words"))
+    # a text sends each of its terms once to the sum of texts, and every time to that of occurrences
+    each = words.select(F.explode(F.concat(F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c"))), F.transform("words", lambda w: F.struct(w.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c"))))).alias("x"))
+    return each.groupBy("x.term").agg(F.sum("x.d").alias("df"), F.sum("x.c").alias("cf"))
 
 
 @dataclass
@@ -39,6 +43,12 @@ def statistics(df: DataFrame, text: str = "contents", stop_words: list[str] | No
     return Statistics(r["n"], float(r["mean"] or 0.0))
 
 
+def statistics_of(lengths: DataFrame, length: str = "n_terms") -> Statistics:
+    """The same from a table that holds the number of terms of each text."""
+    r = lengths.agg(F.count("*").alias("n"), F.avg(F.coalesce(length, F.lit(0)).cast("double")).alias("mean")).first()
+    return Statistics(r["n"], float(r["mean"] or 0.0))
+
+
 def score(index: DataFrame, stats: Statistics, query: str, key: list[str], k1: float = K1, b: float = B, stop_words: list[str] | None = None) -> DataFrame:
     """(key, score) of the texts with a term of the query, each occurrence of a term in the query counting."""
     wanted = Counter(T.query_terms(query, stop_words))
@@ -53,13 +63,19 @@ def score(index: DataFrame, stats: Statistics, query: str, key: list[str], k1: f
 
 def search(df: DataFrame, index: DataFrame, stats: Statistics, query: str, key: list[str], k: int = 10, **options) -> DataFrame:
     """The k best rows of df with their score; where fewer have a term of the query, others follow with score 0. Ties in order of the key."""
+    spark = df.sparkSession
     scored = score(index, stats, query, key, **options)
-    ids = df.select(*key)
-    best = scored.orderBy(F.desc("score"), *key).limit(k)
-    # at most k of the scored texts can be among the first k of the others
-    rest = ids.join(scored.select(*key), key, "left_anti").orderBy(*key).limit(k).withColumn("score", F.lit(0.0))
-    top = best.unionByName(rest).orderBy(F.desc("score"), *key).limit(k)
-    return df.join(F.broadcast(top), key).orderBy(F.desc("score"), *key)
+    # k rows of keys and scores come to the driver, which cuts the lineage of what follows
+    top = [tuple(r) for r in scored.orderBy(F.desc("score"), *key).limit(k).select(*key, "score").collect()]
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in key) + ", score double"
+    if len(top) < k:
+        known = F.broadcast(spark.createDataFrame(top, kinds))
+        rest = df.select(*key).join(known, key, "left_anti").orderBy(*key).limit(k - len(top)).collect()
+        top += [(*r, 0.0) for r in rest]
+    best = spark.createDataFrame(top, kinds)
+    # the files of the keys reach the scan as a filter
+    some = df.where(F.col(key[0]).isin(sorted({r[0] for r in top}))) if top else df.limit(0)
+    return some.join(F.broadcast(best), key).orderBy(F.desc("score"), *key)
 
 
 # --- boolean matching --------------------------------------------------------

@@ -7,13 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.functions import normalize, terms
+from loomspark.functions import normalize, outline, terms
 from loomspark.operators import chunksets, context, dense, fusion, incremental, keyword, tree
 from loomspark.plans import corpora, search
-from loomspark.plans.corpora import CONVERSATION_SQL, GEO_SQL, JAGGED_SQL, MARKED_SQL
+from loomspark.plans.corpora import CONVERSATION_SQL, GEO_SQL, JAGGED_SQL, MARKED_SQL, PLAIN_SQL
+from loomspark.sources import scratch
+from loomspark.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,6 +34,16 @@ def query(sql: str | None = None):
     return add
 
 
+def _each_line(kind: str, what: Callable):
+    """A function of lines as a column, a batch at a time."""
+
+    @F.pandas_udf(kind)
+    def run(lines: pd.Series) -> pd.Series:
+        return lines.map(what, na_action="ignore")
+
+    return run
+
+
 def ids_text(column) -> F.Column:
     return F.array_join(F.transform(column, lambda x: x.cast("string")), ",")
 
@@ -41,7 +54,8 @@ def _chunks(spark, sf_dir):
 
 
 def _groups(spark, sf_dir):
-    return chunksets.simple(_chunks(spark, sf_dir), ["file_path"], embed=False)
+    """The groups of the index of all conversations."""
+    return corpora.conversation_index(spark, sf_dir).read("chunksets")
 
 
 #: parents by definition: the last earlier row that is shallower
@@ -64,35 +78,39 @@ def scan_lines(spark, sf_dir):
 
 @query(f"with {MARKED_SQL} select doc_id, line, length(regexp_extract(text, '^[ \\t]{{0,3}}(#{{1,6}})[ \\t]', 1))::int as level from marked where regexp_matches(text, '^[ \\t]{{0,3}}#{{1,6}}[ \\t]')")
 def heading_probe(spark, sf_dir):
-    mark = F.regexp_extract("text", "^[ \t]{0,3}(#{1,6})[ \t]", 1)
-    return corpora.marked_lines(spark, sf_dir).where(mark != "").select("doc_id", "line", F.length(mark).alias("level"))
+    level = _each_line("int", lambda x: h.level if (h := outline.heading_of(x)) else None)
+    return corpora.marked_lines(spark, sf_dir).select("doc_id", "line", level("text").alias("level")).where("level is not null")
 
 
 @query(f"with {MARKED_SQL} select doc_id, line, case when regexp_matches(text, '^[ \\t]*[-*+•][ \\t]') then 'bullet' when regexp_matches(text, '^[ \\t]*[0-9]+[.)][ \\t]') then 'number' else 'letter' end as kind from marked where regexp_matches(text, '^[ \\t]*([-*+•]|([0-9]+|[a-zA-ZÀ-ÿ]|[ivxlcdmIVXLCDM]+)[.)])[ \\t]')")
 def list_probe(spark, sf_dir):
-    t = F.col("text")
-    kind = F.when(t.rlike("^[ \t]*[-*+•][ \t]"), "bullet").when(t.rlike("^[ \t]*[0-9]+[.)][ \t]"), "number").when(t.rlike("^[ \t]*([a-zA-ZÀ-ÿ]|[ivxlcdmIVXLCDM]+)[.)][ \t]"), "letter")
-    return corpora.marked_lines(spark, sf_dir).select("doc_id", "line", kind.alias("kind")).where("kind is not null")
+    def kind(line):
+        item = outline.list_item(line)
+        return None if item is None else "bullet" if len(item[1]) == 1 else "number" if item[1][:-1].isdigit() else "letter"
+
+    return corpora.marked_lines(spark, sf_dir).select("doc_id", "line", _each_line("string", kind)("text").alias("kind")).where("kind is not null")
 
 
 @query(f"with {MARKED_SQL} select doc_id, line from marked where regexp_matches(text, '^[ \\t]{{0,3}}((\\*[ \\t]*){{3,}}|(-[ \\t]*){{3,}}|(_[ \\t]*){{3,}})$')")
 def thematic_probe(spark, sf_dir):
-    return corpora.marked_lines(spark, sf_dir).where(F.col("text").rlike("^[ \t]{0,3}((\\*[ \t]*){3,}|(-[ \t]*){3,}|(_[ \t]*){3,})$")).select("doc_id", "line")
+    return corpora.marked_lines(spark, sf_dir).where(_each_line("boolean", outline.is_thematic)("text")).select("doc_id", "line")
 
 
 @query(f"with {MARKED_SQL} select doc_id, line from marked where regexp_matches(trim(text), '^(https?://[^ \\t]+|\\[[^\\]]+\\]\\([^)]+\\))$')")
 def link_probe(spark, sf_dir):
-    return corpora.marked_lines(spark, sf_dir).where(F.trim("text").rlike(r"^(https?://[^ \t]+|\[[^\]]+\]\([^)]+\))$")).select("doc_id", "line")
+    return corpora.marked_lines(spark, sf_dir).where(_each_line("boolean", outline.is_link)("text")).select("doc_id", "line")
 
 
-@query(f"with {MARKED_SQL} select doc_id, line from (select *, lag(text) over w as before, lead(text) over w as after from marked window w as (partition by doc_id order by line)) where trim(before) = '' and trim(after) = '' and length(trim(text)) between 1 and 120 and not regexp_matches(trim(text), '[.!?]$')")
+@query(f"""with {MARKED_SQL}, ends as (select *, max(line) over (partition by doc_id) as last, trim(text, ' ' || chr(9) || chr(13)) as t from marked)
+select doc_id, (2 * line)::int as line from ends where line > 0 and line < last and length(t) between 1 and 120 and not regexp_matches(t, '[.!?。！？]$') and not regexp_matches(t, '【[^】]+】') and not regexp_matches(t, '^([-*+•]|([0-9]+|[a-zA-ZÀ-ÿ]|[ivxlcdmIVXLCDM]+)[.)])[ \t]')""")
 def pseudo_heading_flags(spark, sf_dir):
-    from pyspark.sql import Window
+    """Lines between blank lines that stand as headings, in documents whose lines are set apart by blank ones."""
+
+    @F.pandas_udf("array<int>")
+    def places(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda x: [i for i in range(len(x)) if outline.is_pseudo_heading(list(x), i)])
 
-    w = Window.partitionBy("doc_id").orderBy("line")
-    near = corpora.marked_lines(spark, sf_dir).select("*", F.lag("text").over(w).alias("before"), F.lead("text").over(w).alias("after"))
-    t = F.trim("text")
-    return near.where((F.trim("before") == "") & (F.trim("after") == "") & F.length(t).between(1, 120) & ~t.rlike("[.!?]$")).select("doc_id", "line")
+    return corpora.spaced_lines(spark, sf_dir).select("doc_id", F.explode(places("lines")).alias("line"))
 
 
 # --- trees -----------------------------------------------------------------------
@@ -109,7 +127,8 @@ def tree_ancestors(spark, sf_dir):
     return tree.link(corpora.jagged_tree(spark, sf_dir), ["tree"], depths=list(range(6))).select("tree", "local_index", ids_text("ancestors").alias("ancestors"))
 
 
-@query(f"with {JAGGED_SQL}, linked as (select *, {_PARENT.format(k='tree')} as parent from chunks c) select tree, local_index, not exists (select 1 from linked k where k.tree = l.tree and k.parent = l.local_index) as is_leaf from linked l")
+@query(f"""with {JAGGED_SQL}, linked as (select *, {_PARENT.format(k='tree')} as parent from chunks c), named as (select distinct tree, parent from linked where parent is not null)
+select l.tree, l.local_index, n.parent is null as is_leaf from linked l left join named n on n.tree = l.tree and n.parent = l.local_index""")
 def tree_leaves(spark, sf_dir):
     return tree.leaves(corpora.jagged_tree(spark, sf_dir), ["tree"]).select("tree", "local_index", "is_leaf")
 
@@ -137,7 +156,8 @@ def geo_members(spark, sf_dir):
 
 @query(f"{_CONV} select file_path, local_index, array_to_string(chunk_ids, ',') as chunk_ids, contents from chunksets")
 def chunksets_simple(spark, sf_dir):
-    return _groups(spark, sf_dir).select("file_path", F.col("local_index").cast("int"), ids_text("chunk_ids").alias("chunk_ids"), "contents")
+    made = chunksets.simple(_chunks(spark, sf_dir), ["file_path"], embed=False)
+    return made.select("file_path", F.col("local_index").cast("int"), ids_text("chunk_ids").alias("chunk_ids"), "contents")
 
 
 @query("with t as (select doc_id, greatest(1, floor(len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda x: x <> '')) * 1.3::double))::int as tokens from documents where text is not null) select doc_id, tokens, least(greatest(512, round_even(tokens * 1.1::double, 0)), 7000)::int as token_limit from t")
@@ -146,29 +166,18 @@ def token_estimate(spark, sf_dir):
     return docs.select("doc_id", "tokens", chunksets.token_limit(F.col("tokens")).alias("token_limit"))
 
 
-def _sets(spark, sf_dir, every=False):
+def _sets(spark, sf_dir):
     items = corpora.table(spark, sf_dir, "lineitem")
-    items = items if every else items.where("l_linenumber <= 4")
     return items.groupBy(F.col("l_suppkey").alias("tree"), F.col("l_orderkey").alias("local_index")).agg(F.array_sort(F.collect_set(F.col("l_linenumber"))).alias("chunk_ids"))
 
 
-@query("""with s as (select l_suppkey as tree, l_orderkey as local_index, list_sort(list(distinct l_linenumber)) as ids from lineitem where l_linenumber <= 4 group by all)
+@query("""with s as (select l_suppkey as tree, l_orderkey as local_index, list_sort(list(distinct l_linenumber)) as ids from lineitem group by all)
 select tree, local_index, array_to_string(ids, ',') as chunk_ids from s where not exists (select 1 from s o where o.tree = s.tree and list_has_all(o.ids, s.ids) and (len(o.ids) > len(s.ids) or (len(o.ids) = len(s.ids) and o.local_index < s.local_index)))""")
 def superset_dedup(spark, sf_dir):
+    """Over all line items: of the sets of a supplier those that no other holds."""
     return chunksets.drop_subsets(_sets(spark, sf_dir), ["tree"]).select("tree", "local_index", ids_text("chunk_ids").alias("chunk_ids"))
 
 
-_ALL_SETS = "select l_suppkey as tree, l_orderkey as local_index, list_sort(list(distinct l_linenumber)) as ids from lineitem group by all"
-
-
-@query(f"""with s as ({_ALL_SETS})
-select tree, local_index, array_to_string(ids, ',') as chunk_ids from s where not exists (select 1 from s o where o.tree = s.tree and list_has_all(o.ids, s.ids) and (len(o.ids) > len(s.ids) or (len(o.ids) = len(s.ids) and o.local_index < s.local_index)))""")
-def superset_dedup_all(spark, sf_dir):
-    """The same over all line items."""
-    sets = _sets(spark, sf_dir, every=True)
-    return chunksets.drop_subsets(sets, ["tree"]).select("tree", "local_index", ids_text("chunk_ids").alias("chunk_ids"))
-
-
 @query()
 def chunksets_optimized(spark, sf_dir):
     return chunksets.budgeted(corpora.conversation_tree(spark, sf_dir), ["file_path"])
@@ -201,7 +210,22 @@ def thousands(spark, sf_dir):
     return pages.select("page_id", normalize.join_thousands(number).alias("plain"))
 
 
-@query()
+def _decomposed(text: str) -> str:
+    """Compatibility decomposition of the letters and signs up to U+017F, in SQL."""
+    import unicodedata
+
+    for c in map(chr, range(0xA0, 0x180)):
+        if (d := unicodedata.normalize("NFKD", c)) != c:
+            text = f"replace({text}, '{c}', '{d}')"
+    return text
+
+
+_TAGLESS = r"regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', '', 'g'), '<[^>]+>', '', 'g')"
+_UNESCAPED = f"regexp_replace(replace(replace(replace({_TAGLESS}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;?', '&', 'g')"
+_NORMAL = _thousands("x")
+
+
+@query(f"select page_id, trim({_NORMAL}) as plain from (select page_id, regexp_replace({_decomposed('y')}, '[ \t]+', ' ', 'g') as x from (select page_id, regexp_replace({_UNESCAPED}, '[ \t\n\r\f]+', ' ', 'g') as y from pages))")
 def normalize_full(spark, sf_dir):
     return corpora.table(spark, sf_dir, "pages").select("page_id", normalize.normalize_text("html").alias("plain"))
 
@@ -218,8 +242,8 @@ best as (select file_path, local_index, chunk_ids, contents, coalesce(s, 0) as s
 
 
 def _bm25(spark, sf_dir, k: int = 15):
-    groups = _groups(spark, sf_dir)
-    return keyword.search(groups, keyword.postings(groups, KEY), keyword.statistics(groups), QUERY, KEY, k)
+    store = corpora.conversation_index(spark, sf_dir)
+    return keyword.search(store.read("chunksets"), *store.keyword_index(), QUERY, KEY, k)
 
 
 @query(f"select doc_id, len(w)::int as n_terms, array_to_string(w, ' ') as terms from (select doc_id, {_WORDS.format(t='text')} as w from documents where text is not null)")
@@ -230,8 +254,7 @@ def bm25_tokens(spark, sf_dir):
 
 @query(f"select term, count(*) as df, sum(tf)::bigint as cf from (select doc_id, term, count(*) as tf from (select doc_id, unnest({_WORDS.format(t='text')}) as term from documents) group by all) group by term")
 def bm25_df(spark, sf_dir):
-    index = keyword.postings(corpora.table(spark, sf_dir, "documents"), ["doc_id"], "text")
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return keyword.document_frequencies(corpora.table(spark, sf_dir, "documents"), "text")
 
 
 @query(f"{_BM25} select file_path, local_index, round(score, 6) as score from best where rank <= 15")
@@ -241,8 +264,16 @@ def bm25_topk(spark, sf_dir):
 
 @query()
 def fts_match(spark, sf_dir):
-    """Boolean, phrase and prefix matching over the groups of all conversations; stemming has no SQL."""
-    return keyword.match(_groups(spark, sf_dir), 'turn AND (user OR assistant) NOT "turn 1"', KEY, limit=20).select(*KEY, F.round("rank", 6).alias("rank"))
+    """Boolean, phrase and prefix matching over the stems kept for the groups of all conversations; stemming has no SQL."""
+    return corpora.conversation_index(spark, sf_dir).match_chunksets('turn AND (user OR assistant) NOT "turn 1"').select(*KEY, F.round("rank", 6).alias("rank"))
+
+
+@query(f"""with {CONVERSATION_SQL}, words as (select file_path, local_index, list_filter(string_split_regex(lower(content), '[^a-z0-9]+'), lambda x: x <> '') as w from chunks where depth = 1),
+hits as (select *, list_contains(w, 'user')::int as f from words) select file_path, local_index from hits where f = 1 order by len(w), file_path, local_index limit 50""")
+def fts_chunks(spark, sf_dir):
+    """Turns of users, by the stems kept for chunks: equal words, so the shorter text ranks first."""
+    store = corpora.conversation_index(spark, sf_dir)
+    return store.match_chunks("turn AND user", limit=50).select("file_path", F.col("local_index").cast("int"))
 
 
 _FTS = f"""select doc_id, sum(tf)::bigint as hits from (select doc_id, t, count(*) as tf from (select doc_id, unnest({_WORDS.format(t='text')}) as t from documents) where t in ('thing', 'tion', 'oner') group by all) group by doc_id having count(*) = 3"""
@@ -281,7 +312,7 @@ def _lists(spark, sf_dir):
     """Two rankings of the groups: by keyword, and one that stands in for a dense one."""
     groups = _groups(spark, sf_dir)
     by_length = groups.select(*KEY, (F.length("contents") % 1009).cast("double").alias("score")).orderBy(F.desc("score"), *KEY).limit(15)
-    return groups, _bm25(spark, sf_dir), by_length
+    return groups, _bm25(spark, sf_dir).select(*KEY, "score"), by_length
 
 
 _FUSE = f"""{_BM25}, second as (select file_path, local_index, row_number() over (order by length(contents) % 1009 desc, file_path, local_index) as r2 from texts),
@@ -358,7 +389,35 @@ gaps as (select i.file_path, i, depth, content, coalesce(i - lag(i) over (partit
 select file_path, round(score, 6) as score, string_agg(case when gap then '[...]' || chr(10) else '' end || repeat('  ', depth) || content, chr(10) order by i) as context, string_agg(i::varchar, ',' order by i) as chunk_ids from gaps join files using (file_path) group by file_path, score""")
 def search_flagship(spark, sf_dir):
     """Keyword search over all conversations, with the context of the best files."""
-    found = search.hybrid(_chunks(spark, sf_dir), _groups(spark, sf_dir), QUERY)
+    store = corpora.conversation_index(spark, sf_dir)
+    found = search.hybrid(store.read("chunks"), store.read("chunksets"), QUERY, index=store.keyword_index())
+    return found.select("file_path", F.round("score", 6).alias("score"), "context", ids_text("chunk_ids").alias("chunk_ids"))
+
+
+class FixedEmbedder:
+    """Gives every query the same vector; the texts have theirs already."""
+
+    dims, min_score = 64, -0.2
+
+    def embed(self, texts):
+        return [_UNIT for _ in texts]
+
+
+_HYBRID = f"""{_BM25}, numbered as (select *, (row_number() over (order by file_path, local_index) - 1) % (select count(*) from embeddings) as vec_id from chunksets),
+near as (select file_path, local_index, s from numbered join {_COS} using (vec_id)), top as (select *, row_number() over (order by s desc, file_path, local_index) as r2 from near qualify r2 <= 15), second as (select * from top where s >= -0.2),
+fused as (select file_path, local_index, coalesce(1.0::double / (60 + a.rank), 0) + coalesce(1.0::double / (60 + b.r2), 0) as score, a.rank as r1, b.r2 from (select * from best where rank <= 15) a full join second b using (file_path, local_index)),
+hits as (select f.*, c.chunk_ids, row_number() over (order by score desc, r1 nulls last, r2 nulls last, file_path, local_index) as rank from fused f join chunksets c using (file_path, local_index) qualify rank <= 15),
+files as (select file_path, greatest(0, max(score)) as score, min(rank) as first_rank from hits group by file_path order by score desc, first_rank limit 5),
+capped as (select * from hits where file_path in (select file_path from files) qualify row_number() over (partition by file_path order by rank) <= 3), ids as (select distinct file_path, unnest(chunk_ids) as i from capped),
+gaps as (select i.file_path, i, depth, content, coalesce(i - lag(i) over (partition by i.file_path order by i) > 1, false) as gap from ids i join chunks c on c.file_path = i.file_path and c.local_index = i.i)
+select file_path, round(score, 6) as score, string_agg(case when gap then '[...]' || chr(10) else '' end || repeat('  ', depth) || content, chr(10) order by i) as context, string_agg(i::varchar, ',' order by i) as chunk_ids from gaps join files using (file_path) group by file_path, score"""
+
+
+@query(_HYBRID)
+def search_hybrid(spark, sf_dir):
+    """Keyword and dense search over all conversations, fused, with the context of the best files."""
+    store = corpora.conversation_index(spark, sf_dir)
+    found = search.hybrid(store.read("chunks"), store.read("chunksets"), QUERY, embedder=FixedEmbedder(), vectors=store.with_embeddings(), index=store.keyword_index())
     return found.select("file_path", F.round("score", 6).alias("score"), "context", ids_text("chunk_ids").alias("chunk_ids"))
 
 
@@ -389,28 +448,38 @@ def change_actions(spark, sf_dir):
 
 @query(f"{_CONV} select (select count(distinct file_path) from chunks) as files, (select count(*) from chunks) as total_chunks, (select count(*) from chunksets) as total_chunksets")
 def index_status(spark, sf_dir):
-    chunks, groups = corpora.conversation_tree(spark, sf_dir), _groups(spark, sf_dir)
-    return chunks.agg(F.countDistinct("file_path").alias("files"), F.count("*").alias("total_chunks")).crossJoin(groups.agg(F.count("*").alias("total_chunksets")))
+    return corpora.conversation_index(spark, sf_dir).counts().drop("embedded_chunksets")
 
 
 @query(f"with {CONVERSATION_SQL} select file_path, coalesce(max(local_index), -1)::int as max_local_index from chunks group by file_path")
 def max_local_index(spark, sf_dir):
-    return corpora.conversation_tree(spark, sf_dir).groupBy("file_path").agg(F.coalesce(F.max("local_index"), F.lit(-1)).cast("int").alias("max_local_index"))
+    return Store.max_local_indexes(corpora.conversation_index(spark, sf_dir).read("chunks"))
 
 
 @query(f"with {CONVERSATION_SQL} select file_path, max(local_index)::int as local_index, arg_max(content, local_index) as content, arg_max(depth, local_index)::int as depth from chunks where depth <= 1 group by file_path")
 def last_heading(spark, sf_dir):
-    rows = corpora.conversation_tree(spark, sf_dir).where("depth <= 1")
-    return rows.groupBy("file_path").agg(F.max("local_index").cast("int").alias("local_index"), F.max_by("content", "local_index").alias("content"), F.max_by("depth", "local_index").cast("int").alias("depth"))
+    return Store.last_headings(corpora.conversation_index(spark, sf_dir).read("chunks"))
 
 
-@query("""with old as (select doc_id::varchar as file_path, n_chars // 2 as char_offset from documents where doc_id % 3 <> 0), new as (select doc_id::varchar as file_path, n_chars as char_offset from documents where doc_id % 2 = 0)
+@query("""with old as (select doc_id::varchar as file_path, n_chars // 2 as char_offset, 'old' as content_hash, 0.0::double as mtime from documents), new as (select doc_id::varchar as file_path, n_chars as char_offset, lang as content_hash, 1.0::double as mtime from documents where n_chars % 2 = 0)
 select * from new union all select * from old where file_path not in (select file_path from new)""")
 def upsert_files(spark, sf_dir):
-    docs = corpora.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_path"), "doc_id", "n_chars")
-    old = docs.where("doc_id % 3 <> 0").select("file_path", F.floor(F.col("n_chars") / 2).cast("bigint").alias("char_offset"))
-    new = docs.where("doc_id % 2 = 0").select("file_path", F.col("n_chars").alias("char_offset"))
-    return new.unionByName(old.join(new.select("file_path"), "file_path", "left_anti"))
+    """Records of all documents as files, then those of even length again with other values."""
+    store = Store(spark, scratch.path(spark, f"records of {sf_dir}")[0])
+    docs = corpora.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_path"), "n_chars", "lang")
+    store.merge("files", docs.select("file_path", F.floor(F.col("n_chars") / 2).cast("bigint").alias("char_offset"), F.lit("old").alias("content_hash"), F.lit(0.0).alias("mtime")))
+    store.merge("files", docs.where("n_chars % 2 = 0").select("file_path", F.col("n_chars").alias("char_offset"), F.col("lang").alias("content_hash"), F.lit(1.0).alias("mtime")))
+    return store.read("files")
+
+
+@query("select doc_id::varchar as file_path, n_chars as char_offset from documents where n_chars % 2 = 0")
+def delete_files(spark, sf_dir):
+    """Records of all documents as files; those of odd length are deleted again."""
+    store = Store(spark, scratch.path(spark, f"deletions of {sf_dir}")[0])
+    docs = corpora.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_path"), F.col("n_chars").alias("char_offset"), F.lit("").alias("content_hash"), F.lit(0.0).alias("mtime"))
+    store.merge("files", docs)
+    store.delete(docs.where("char_offset % 2 <> 0"))
+    return store.read("files").select("file_path", "char_offset")
 
 
 @query(f"{_CONV} select file_path, local_index, '[' || array_to_string(chunk_ids, ',') || ']' as json, len(chunk_ids)::int as n from chunksets")
@@ -419,6 +488,26 @@ def json_ids_roundtrip(spark, sf_dir):
     return rows.withColumn("n", F.size(F.from_json("json", "array<int>")))
 
 
+@query(f"with {PLAIN_SQL} select file_path, local_index, depth, content, {_PARENT.format(k='file_path')}::int as parent from chunks c")
+def outline_blocks(spark, sf_dir):
+    """All conversations as markdown with headings, rules, tables, code and lists, outlined and linked."""
+    docs = corpora.plain_markdown(spark, sf_dir)
+    none = F.lit(None)
+    pieces = docs.select("file_path", F.posexplode(incremental.outline_pieces("text", none.cast("int"), none.cast("string"))).alias("local_index", "piece"))
+    linked = tree.link(pieces.select("file_path", "local_index", "piece.depth", "piece.content"), ["file_path"], depths=[0, 1, 2, 3])
+    return linked.select("file_path", "local_index", "depth", "content", "parent")
+
+
+@query(f"with {PLAIN_SQL} select file_path, count(*)::int as new_chunks, 'reindexed' as status from chunks group by file_path union all select 'x/' || conv_id, null, 'unchanged' from conversations where turn = 0 and text is not null")
+def index_update(spark, sf_dir):
+    """The whole upkeep of an index: all conversations come in as files, beside files (one for each first turn) that are indexed already and come again as they are."""
+    store = Store(spark, scratch.path(spark, f"upkeep of {sf_dir} {scratch.token()}")[0])
+    first = corpora.table(spark, sf_dir, "conversations").where("turn = 0 and text is not null").select(F.concat(F.lit("x/"), F.col("conv_id").cast("string")).alias("file_path"), "text", F.lit(1.0).alias("mtime"))
+    incremental.apply(store, first)
+    both = first.unionByName(corpora.plain_markdown(spark, sf_dir).withColumn("mtime", F.lit(2.0)))
+    return incremental.apply(store, both).select("file_path", "new_chunks", "status")
+
+
 @query()
 def chunk_markdown(spark, sf_dir):
     """All conversations as markdown, outlined and linked."""

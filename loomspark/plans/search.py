@@ -12,9 +12,12 @@ KEY = ["file_path", "local_index"]
 
 def results(chunks: DataFrame, chunksets: DataFrame, hits: DataFrame, top_k: int = 5, max_per_file: int = 3) -> DataFrame:
     """(file_path, score, context, chunk_ids) of the best files; hits have file_path, chunk_ids, contents, score and rank."""
-    files = fusion.rank_files(hits, k=top_k)
-    capped = fusion.cap_per_file(hits, most=max_per_file).join(files.select("file_path"), "file_path", "left_semi")
-    mine = chunks.join(F.broadcast(files.select("file_path")), "file_path", "left_semi")
+    # top_k rows; their names reach the scan of the chunks as a filter
+    best = fusion.rank_files(hits, k=top_k).collect()
+    names = [r["file_path"] for r in best]
+    files = hits.sparkSession.createDataFrame(best, "file_path string, score double, first_rank int")
+    capped = fusion.cap_per_file(hits, most=max_per_file).where(F.col("file_path").isin(names))
+    mine = chunks.where(F.col("file_path").isin(names))
     text = context.assemble(mine, context.expand(mine, context.hit_ids(capped)))
     # a file without chunks falls back on what was found
     plain = capped.groupBy("file_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "contents"))), lambda x: x["contents"]), "\n").alias("found"))
@@ -37,4 +40,7 @@ def hybrid(chunks: DataFrame, chunksets: DataFrame, query: str, top_k: int = 5,
         hits = merged.join(chunksets.select(*KEY, "chunk_ids", "contents"), KEY)
     else:
         hits = fusion.ranked(best, KEY)
+    # three times top_k rows at most: taken once, so that nothing behind them is planned again
+    hits = hits.select("file_path", "chunk_ids", "contents", F.col("score").cast("double").alias("score"), F.col("rank").cast("int").alias("rank"))
+    hits = hits.sparkSession.createDataFrame(hits.collect(), hits.schema)
     return results(chunks, chunksets, hits, top_k, max_per_file)

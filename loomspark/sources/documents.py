@@ -26,6 +26,13 @@ def read_files(spark: SparkSession, files: list[str]) -> DataFrame:
     return raw.select(F.regexp_replace("path", "^file:(//)?", "").alias("file_path"), text.alias("text"), F.col("modificationTime").cast("double").alias("mtime"))
 
 
+def read_folder(spark: SparkSession, path: str | os.PathLike, glob: str = "**/*.md") -> DataFrame:
+    """The files of a folder: of the local file system by glob, of any other (a path with a scheme) as Spark lists it."""
+    if "://" in str(path):
+        return read_tree(spark, str(path), glob.rsplit("/", 1)[-1])
+    return read_files(spark, list_files(path, glob))
+
+
 def read_tree(spark: SparkSession, path: str, name_glob: str = "*.md") -> DataFrame:
     """The same for a folder of any file system that Spark reads, listed by Spark."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name_glob).load(path)

@@ -252,6 +252,89 @@ def test_command_line(spark, tmp_path, capsys):
     assert "Title" in server.search_tool("words", str(tmp_path)) and "Chunks:    2" in server.status_tool(str(tmp_path)) and "unchanged" in server.index_tool(str(tmp_path), str(tmp_path / "a.md"))
 
 
+def test_searches_read_what_is_stored(spark, tmp_path):
+    """Postings, lengths and stems follow every change, and give what is worked out anew from the groups."""
+    for n, text in enumerate((NOTES, NOTES + APPENDED, "# Other\n\nRedis text here")):
+        (tmp_path / "a.md").write_text(text)
+        (tmp_path / "b.md").write_text("# Second\n\nDocker and tokens.\n")
+        os.utime(tmp_path / "a.md", (n, n))
+        api.index(tmp_path, spark=spark)
+        store = api.open_store(tmp_path, spark=spark)
+        groups = store.read("chunksets")
+        postings, stats = store.keyword_index()
+        key = ["file_path", "local_index"]
+        assert stats == keyword.statistics(groups)
+        assert sorted(map(tuple, postings.collect())) == sorted(map(tuple, keyword.postings(groups, key).collect()))
+    assert [r.contents for r in store.match_chunksets("redis").collect()] == ["Other\nRedis text here"]
+    assert [r.content for r in store.match_chunks('"and token"').collect()] == ["Docker and tokens."]
+    plain = lambda rows: [(r["file_path"], round(r["score"], 9), r["context"]) for r in rows]
+    from loomspark.plans import search as plans
+
+    fresh = plans.hybrid(store.read("chunks"), groups, "redis docker").collect()
+    assert plain(api.search("redis docker", tmp_path, spark=spark, embedder=None)) == plain(fresh)
+
+
+def test_hybrid_search_by_default(spark, tmp_path, monkeypatch):
+    """Where an embedder is installed searches use it unasked, also those of the command line and the tools."""
+    (tmp_path / "a.md").write_text(NOTES)
+    api.index(tmp_path, spark=spark)
+    api.search("redis", tmp_path, spark=spark)
+    store = api.open_store(tmp_path, spark=spark)
+    assert store.status()["embedded_chunksets"] == 0
+    monkeypatch.setattr(dense, "default_embedder", lambda: dense.HashingEmbedder(16))
+    assert "Docker" in server.search_tool("docker containers", str(tmp_path))
+    assert store.status()["embedded_chunksets"] == 3 == store.read("embeddings").where("size(embedding) = 16").count()
+
+
+def test_manifests_and_buckets(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    schema = "file_path string, char_offset bigint, content_hash string, mtime double"
+    rows = spark.createDataFrame([(f"f{i}", i, "", 0.0) for i in range(20)], schema)
+    store.merge("files", rows)
+    before = store._newest()
+    store.rebucket(8)
+    assert len(store.manifest()["files"]) > 1 and store.read("files").count() == 20
+    # a change that was worked out from an older state does not replace a newer one
+    with pytest.raises(OSError):
+        store._publish(*before)
+    # what a broken writer leaves behind is not read
+    (tmp_path / "s" / "new-broken").write_text("{")
+    store.merge("files", rows.where("char_offset = 3").withColumn("mtime", rows.mtime + 1))
+    assert store.file_record("f3").mtime == 1.0 and store.read("files").count() == 20
+    store.delete(rows.where("char_offset > 3"))
+    assert store.read("files").count() == 4
+    store.vacuum()
+    assert store.read("files").count() == 4
+
+
+def test_token_length_can_be_given(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# T\n\n" + "word " * 900)
+    assert api.index(tmp_path, spark=spark)["chunks_created"] == 4
+    assert api.index(tmp_path, db_path=tmp_path / "other", spark=spark, length=lambda t: len(t.split()))["chunks_created"] == 3
+    assert api.index(tmp_path, db_path=tmp_path / "third", spark=spark, length=len)["chunks_created"] == 10
+
+
+def test_folders_listed_by_spark(spark, tmp_path):
+    from loomspark.sources import documents
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.md").write_bytes(b"# A\r\ntext\r")
+    (tmp_path / "b.txt").write_text("no")
+    (tmp_path / ".c.md").write_text("no")
+    rows = documents.read_folder(spark, f"file://{tmp_path}").collect()
+    assert [(r.file_path.rsplit("/", 1)[-1], r.text) for r in rows] == [("a.md", "# A\ntext\n")]
+    assert [r.text for r in documents.read_folder(spark, tmp_path).collect()] == ["# A\ntext\n"]
+
+
+def test_public_names():
+    import loomspark
+
+    assert all(callable(getattr(loomspark, n)) for n in loomspark.__all__) and loomspark.__version__
+    assert loomspark.index is api.index and loomspark.outline("# A\nb") == [(0, "A"), (1, "b")]
+    with pytest.raises(AttributeError):
+        loomspark.nothing
+
+
 def test_store_keys(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     row = spark.createDataFrame([("f", 0, [1], "c", "")], "file_path string, local_index int, chunk_ids array<int>, contents string, to_embed string")
@@ -279,7 +362,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_registered_queries(spark, compare):
     """A few of the registered queries against their SQL; the driver compares all of them."""
-    for name in ("tree_ancestors", "chunksets_simple", "expand_deep", "change_actions", "superset_dedup", "thousands", "bm25_df"):
+    for name in ("tree_ancestors", "tree_leaves", "pseudo_heading_flags", "chunksets_simple", "expand_deep", "change_actions", "thousands", "normalize_full", "bm25_df", "outline_blocks", "search_flagship", "search_hybrid", "fts_chunks", "upsert_files", "delete_files", "last_heading", "index_status"):
         compare(queries.QUERIES[name](spark, "/root/testdata/sf0.001"), queries.ORACLE_SQL[name])
 
 
@@ -296,6 +379,6 @@ def test_superset_dedup_of_all_line_items(spark, compare, tmp_path):
     for tree_, order, line in rows:
         sets.setdefault((tree_, order), set()).add(line)
     want = {k: s for k, s in sets.items() if not any(o[0] == k[0] and s <= t and (len(t) > len(s) or o[1] < k[1]) for o, t in sets.items() if o != k)}
-    got = {(r.tree, r.local_index): {int(x) for x in r.chunk_ids.split(",")} for r in queries.QUERIES["superset_dedup_all"](spark, str(tmp_path)).collect()}
+    got = {(r.tree, r.local_index): {int(x) for x in r.chunk_ids.split(",")} for r in queries.QUERIES["superset_dedup"](spark, str(tmp_path)).collect()}
     assert got == want and set(want) == {(1, 10), (1, 11), (1, 13), (2, 10)}
-    compare(queries.QUERIES["superset_dedup_all"](spark, "/root/testdata/sf0.001"), queries.ORACLE_SQL["superset_dedup_all"])
+    compare(queries.QUERIES["superset_dedup"](spark, "/root/testdata/sf0.001"), queries.ORACLE_SQL["superset_dedup"])
