@@ -31,11 +31,11 @@ def folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table of its own in the shared folder and reads it again."""
+def store(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
+    """Writes df as a table of its own in the shared folder (with options of the Parquet writer) and reads it again."""
     spark = df.sparkSession
     path = f"{folder(spark)}/tables/{uuid.uuid4().hex[:12]}-{next(_COUNT)}-{name}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -312,6 +314,58 @@ def test_capture_ranges(spark, size):
         assert [p.decode() for *_, p in read] == [html[r.id].html for r in own]
 
 
+@pytest.mark.parametrize("fan_in", [2, 3])
+def test_capture_passes(spark, fan_in):
+    """Runs merged in several passes, with one capture that is there many times and cut over ranges, give the order of one sort."""
+    rows = [(k % 7 if k % 3 else 1, f"http://h{k % 5}.example/" if k % 3 else "http://hot.example/", "x" * (k % 4)) for k in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    out = warc.capture_index(df, entries_per_range=30, fan_in=fan_in).orderBy("position").collect()
+    keys = [(r.url_key, r.timestamp, r.id, r.run, r.record_offset) for r in out]
+    assert keys == sorted(keys) and len(set(keys)) == 400 and [r.position for r in out] == list(range(1, 401))
+    assert sorted((r.id, r.url) for r in out) == sorted(r[:2] for r in rows)
+    seen = Counter()
+    for r in out:
+        seen[r.url_key] += 1
+        assert r.capture == seen[r.url_key]
+
+
+def test_runs_are_not_sorted_again(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").repartition(3)
+    plan = warc.merge_runs(warc.index_runs(pages), entries_per_range=10)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange hashpartitioning" not in plan and "rangepartitioning" not in plan
+
+
+def test_merge_streams(tmp_path):
+    """A range of many times what is read of a run at once keeps a batch of each run and what is about to be written."""
+    count, files = 60_000, []
+    for run in range(3):
+        keys = [(f"k{i * 3 + run:08d}" if i % 3 else "k-hot", "20240101000000", i) for i in range(count)]
+        keys.sort()
+        t = pa.table({"url_key": [k for k, _, _ in keys], "timestamp": [t for _, t, _ in keys], "id": [i for *_, i in keys], "url": [k for k, _, _ in keys], "digest": ["d"] * count, "record_offset": list(range(count)), "record_length": [1] * count, "run": pa.array([run] * count, pa.int32())})
+        pq.write_table(t, tmp_path / f"{run}.parquet", row_group_size=5000)
+        files.append(f"file://{tmp_path}/{run}.parquet")
+    cut = ("k-hot", "20240101000000", True, 30_000, 1, 7)
+    got, widest = [], 0
+    for low, high in ((None, cut), (cut, None)):
+        for b, history in warc._merged(files, low, high):
+            widest = max(widest, pa.total_allocated_bytes())
+            got += warc._keys(b)
+    assert len(got) == 3 * count and got == sorted(got) and len(set(got)) == len(got)
+    assert widest < 64 << 20
+
+    read = []
+    system = warc.fs.LocalFileSystem()
+    file = pq.ParquetFile(system.open_input_file(str(tmp_path / "0.parquet")))
+    place = {c: i for i, c in enumerate(file.schema_arrow.names)}
+    for g in range(file.num_row_groups):
+        low, high = warc._bounds(file.metadata.row_group(g), place)
+        part = warc._keys(file.read_row_group(g).to_batches()[0])
+        assert part[0][: len(low)] >= low and part[-1][: len(high)] <= high
+        read.append(len(low))
+    # a row group of one url tells its keys down to the id
+    assert max(read) >= 4
+
+
 def test_full_index_leads_to_records(spark, compare):
     """Every entry of the registered query is followed to its record; the other columns are those of SQL."""
     index = QUERIES["op9_capture_index_full"](spark, SF)
