@@ -31,7 +31,8 @@ def _before(tree: list[str], order: str):
 
 
 def _after(tree: list[str], order: str):
-    return Window.partitionBy(*tree).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    """All later rows, nearest last: a frame that ends at the last row is worked out anew for each row, one that grows from the first is not."""
+    return Window.partitionBy(*tree).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def depths_of(df: DataFrame, depth: str = "depth") -> list[int]:
@@ -102,6 +103,6 @@ def subtrees(df: DataFrame, tree: list[str], order: str = "local_index", depth:
     window = _after(tree, order)
     end = F.lit(None)
     for k in depths:
-        first = F.first(F.when(F.col(depth) <= k, F.col(order)), ignorenulls=True).over(window)
+        first = F.last(F.when(F.col(depth) <= k, F.col(order)), ignorenulls=True).over(window)
         end = F.when(F.col(depth) == k, first).otherwise(end)
     return df.withColumn("subtree_end", end.cast(df.schema[order].dataType))

@@ -130,6 +130,13 @@ def test_trees_equal_a_stack(spark, monkeypatch, most):
     assert {(r.tree, r.local_index): (r.parent, list(r.ancestors), r.is_leaf, r.subtree_end) for r in linked.collect()} == want
 
 
+def test_ends_of_subtrees_take_one_pass(spark):
+    """No window frame reaches from a row to the last one, as Spark goes over the rest of the tree for each row of such a frame."""
+    _, df = random_trees(spark)
+    plan = tree.subtrees(df, ["tree"])._jdf.queryExecution().executedPlan().toString().lower()
+    assert "window" in plan and "unboundedfollowing" not in plan
+
+
 def notes_chunks(spark):
     rows = [("n", i, d, c) for i, (d, c) in enumerate(outline.outline(NOTES))]
     return tree.link(spark.createDataFrame(rows, "file_path string, local_index int, depth int, content string"), ["file_path"])
