@@ -389,3 +389,15 @@ def test_superset_dedup_of_all_line_items(spark, compare, tmp_path):
     got = {(r.tree, r.local_index): {int(x) for x in r.chunk_ids.split(",")} for r in queries.QUERIES["superset_dedup"](spark, str(tmp_path)).collect()}
     assert got == want and set(want) == {(1, 10), (1, 11), (1, 13), (2, 10)}
     compare(queries.QUERIES["superset_dedup"](spark, "/root/testdata/sf0.001"), queries.ORACLE_SQL["superset_dedup"])
+
+
+def test_equal_sets_are_compared_once(spark):
+    """Before sets of a tree are compared, equal ones are one row; the join therefore reads no more rows than there are different sets."""
+    rows = [(t, i, ids) for t in (1, None) for i, ids in enumerate([[1], [2, 1], [1, 2], [1], [3], None, [3], [], [4, None], None])]
+    sets = spark.createDataFrame(rows, "tree int, local_index int, chunk_ids array<int>")
+    out = chunksets.drop_subsets(sets, ["tree"])
+    assert sorted((str(r.tree), r.local_index, r.chunk_ids) for r in out.collect()) == [(t, i, ids) for t in ("1", "None") for i, ids in ((1, [1, 2]), (4, [3]), (5, None), (8, [4, None]), (9, None))]
+    named = chunksets.drop_subsets(sets.withColumn("name", sets.local_index.cast("string")), ["tree"]).where("tree = 1").collect()
+    assert sorted((r.local_index, r.name) for r in named) == [(1, "1"), (4, "4"), (5, "5"), (8, "8"), (9, "9")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftAnti") < plan.index("Aggregate [tree") and plan.count("Aggregate [tree") == 2
