@@ -102,6 +102,16 @@ def test_terms(spark):
     assert terms.match_terms("Café runs") == ["cafe", "run"]
 
 
+def test_stems_are_remembered_across_texts():
+    """A word that comes again in another text is not stemmed again, and what is remembered is bounded in words and their length."""
+    terms._known.cache_clear()
+    for _ in range(3):
+        assert terms.match_terms("Relational ponies, Café " + "running" * 9) == ["relat", "poni", "cafe", terms.stem("running" * 9)]
+    found = terms._known.cache_info()
+    assert (found.misses, found.currsize, found.hits, found.maxsize) == (3, 3, 6, terms.KNOWN_WORDS)
+    assert terms.fold("É\u0301ﬁ ΑΣ x\u0300") == "efi ας x"
+
+
 def random_trees(spark, seed=0, n=40):
     rng = random.Random(seed)
     rows = [(t, i, rng.randint(0, 4)) for t in range(n) for i in range(rng.randint(0, 25))]
