@@ -6,11 +6,13 @@ import html
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomspark.functions.slices import in_slices
+
 _HIDDEN = re.compile(r"<(?P<tag>style|script).*?</(?P=tag)>", re.I | re.S)
 _TAG = re.compile("<[^>]+>")
 _CELL_END, _CELL = re.compile(r"</t[hd]>\s*", re.I), re.compile(r"<t[hd][^>]*>\s*", re.I)
@@ -38,9 +40,9 @@ def normalize(text: str | None) -> str | None:
     return text.strip()
 
 
-@F.pandas_udf(T.StringType())
-def normalize_text(text: pd.Series) -> pd.Series:
-    return text.map(normalize, na_action="ignore")
+@F.arrow_udf(T.StringType())
+def normalize_text(text: pa.Array) -> pa.Array:
+    return in_slices(normalize, pa.string(), text)
 
 
 def strip_html(text: Column | str) -> Column:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspark.functions.outline import outline, token_length
+from loomspark.functions.slices import in_slices
 from loomspark.operators import chunksets, tree
 from loomspark.sources import scratch
 from loomspark.sources.store import Store, search_tables
@@ -51,16 +52,16 @@ def pieces_by(length: Callable[[str], int] | None = None):
     """The Arrow function that outlines each text; under a heading (depth, content) where there is one, which itself is left out. `length` gives the tokens of a text."""
     measure = length or token_length
 
-    @F.pandas_udf(_PIECES)
-    def outlined(text: pd.Series, depth: pd.Series, content: pd.Series) -> pd.Series:
-        out = []
-        for t, d, c in zip(text, depth, content):
-            if c is None or pd.isna(d):
-                pieces = outline(t, length=measure)
-            else:
-                pieces = outline("#" * max(1, int(d) + 1) + " " + c + "\n" + (t or ""), title=False, length=measure)[1:]
-            out.append([{"depth": a, "content": b} for a, b in pieces])
-        return pd.Series(out)
+    def pieces(text, depth, content) -> list[dict]:
+        if content is None or depth is None:
+            found = outline(text, length=measure)
+        else:
+            found = outline("#" * max(1, depth + 1) + " " + content + "\n" + (text or ""), title=False, length=measure)[1:]
+        return [{"depth": a, "content": b} for a, b in found]
+
+    @F.arrow_udf(_PIECES)
+    def outlined(text: pa.Array, depth: pa.Array, content: pa.Array) -> pa.Array:
+        return in_slices(pieces, pa.list_(pa.struct([("depth", pa.int32()), ("content", pa.string())])), text, depth, content)
 
     return outlined
 

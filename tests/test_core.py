@@ -411,3 +411,40 @@ def test_equal_sets_are_compared_once(spark):
     assert sorted((r.local_index, r.name) for r in named) == [(1, "1"), (4, "4"), (5, "5"), (8, "8"), (9, "9")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join LeftAnti") < plan.index("Aggregate [tree") and plan.count("Aggregate [tree") == 2
+
+
+def test_arrow_functions_hold_few_rows_as_objects(spark):
+    """Python's memory does not grow with the rows of a batch, and what comes out does not depend on how it is sliced."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from loomspark.functions import slices
+
+    def peak(n):
+        none = pa.nulls(n)
+        docs = pa.array([f"# T{i}\n\n" + "Some words here. And more: ones.\n" * 200 for i in range(n)])
+        out = []
+        for run in (lambda: incremental.outline_pieces.func(docs, none, none), lambda: terms.stemmed.func(docs), lambda: normalize.normalize_text.func(docs)):
+            tracemalloc.start()
+            assert len(run()) == n
+            out.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+        return out
+
+    peak(4)
+    assert all(b < 1.5 * a for a, b in zip(peak(300), peak(1200)))
+    rows = [(i, t, d, c) for i, (t, d, c) in enumerate([(None, None, None), ("", None, None), (NOTES, None, None), (NOTES, 1, "Up"), (None, 1, "Up"), ("x", None, "Up"), ("y", 0, None)])]
+    df = spark.createDataFrame(rows, "i int, t string, d int, c string").coalesce(1)
+    found = {r.i: [tuple(x) for x in r.p] for r in df.select("i", incremental.outline_pieces("t", "d", "c").alias("p")).collect()}
+    want = lambda t, d, c: outline.outline(t) if c is None or d is None else outline.outline("#" * (d + 1) + f" {c}\n" + (t or ""), title=False)[1:]
+    assert found == {i: want(t, d, c) for i, t, d, c in rows}
+    assert [r[0] for r in df.select(terms.stemmed("t")).collect()] == [terms.match_terms(r[1]) for r in rows]
+    assert [r[0] for r in df.select(normalize.normalize_text("t")).collect()] == [normalize.normalize(r[1]) for r in rows]
+    texts = pa.array([None, "a b", "", "c"] * 9)
+    before, slices.SLICE_CHARS = slices.SLICE_CHARS, 100
+    try:
+        assert slices.in_slices(terms.match_terms, pa.list_(pa.string()), texts).to_pylist() == [[], ["a", "b"], [], ["c"]] * 9
+    finally:
+        slices.SLICE_CHARS = before
+    assert slices.in_slices(terms.match_terms, pa.list_(pa.string()), texts[:0]).to_pylist() == []
